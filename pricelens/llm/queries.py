@@ -2,19 +2,92 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, pii, secret_ledger
 from .common import read
 
 
+def op6_pii(spark, sf_dir):
+    return pii.pii_report(read(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark, sf_dir):
+    return secret_ledger.secret_report(read(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op6_pii": op6_pii,
+    "op8_secrets": op8_secrets,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+def _matches(kinds: dict[str, str]) -> str:
+    """DuckDB SQL for every match of the patterns in the documents, with its position: rid, kind, nr, m, start."""
+    found = " UNION ALL ".join(
+        f"SELECT rid, '{kind}' AS kind, {nr} AS nr, t, unnest(regexp_extract_all(t, '{pattern}')) AS m, "
+        f"unnest(list_slice(string_split_regex(t, '{pattern}'), 1, len(regexp_extract_all(t, '{pattern}')))) AS gap, "
+        f"unnest(range(1, 1 + len(regexp_extract_all(t, '{pattern}')))) AS i FROM d"
+        for nr, (kind, pattern) in enumerate(kinds.items())
+    )
+    return f"""d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+        f AS ({found}),
+        p AS (SELECT *, cast(sum(length(gap) + length(m)) OVER (PARTITION BY rid, kind ORDER BY i) - length(m) AS BIGINT) AS start FROM f)"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum([CASE WHEN j % 2 = 0 THEN cast(substr(reverse({_DIGITS}), j + 1, 1) AS INT)
+    ELSE (2 * cast(substr(reverse({_DIGITS}), j + 1, 1) AS INT)) % 10 + cast(substr(reverse({_DIGITS}), j + 1, 1) AS INT) // 5 END
+    FOR j IN range(0, length({_DIGITS}))]) % 10 = 0"""
+_MOVED = "(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4))"
+_MOD97 = f"""list_reduce(list_prepend(0, [CASE WHEN substr({_MOVED}, j, 1) BETWEEN '0' AND '9' THEN ascii(substr({_MOVED}, j, 1)) - 48
+    ELSE ascii(substr({_MOVED}, j, 1)) - 55 END FOR j IN range(1, 1 + length({_MOVED}))]),
+    lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END) = 1"""
+
 ORACLES = {
+    "op6_pii": f"""
+        WITH {_matches({
+            "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+            "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+            "card": r"[0-9]([\x20-]?[0-9])+",
+            "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+            "iban": r"\b[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]){11,30}\b",
+        })},
+        k AS (SELECT rid, kind, nr, start, kind || ':' || start || ':' || (start + length(m)) AS s, lower(substr(t, greatest(start - 39, 1), least(start, 40))) AS before
+              FROM p WHERE CASE kind WHEN 'email' THEN true
+                  WHEN 'ip' THEN list_max([cast(x AS HUGEINT) FOR x IN string_split(m, '.')]) <= 255
+                  WHEN 'card' THEN length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}
+                  WHEN 'phone' THEN length({_DIGITS}) BETWEEN 8 AND 15
+                  ELSE {_MOD97} END),
+        g AS (SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+                  count(*) FILTER (kind = 'phone') AS n_phone, string_agg(s, ',' ORDER BY nr, start) FILTER (kind <> 'iban') AS base,
+                  string_agg(s, ',' ORDER BY nr, start) AS spans, count(*) FILTER (CASE kind
+                      WHEN 'ip' THEN regexp_matches(before, '{pii.WORDS["ip"]}') WHEN 'phone' THEN regexp_matches(before, '{pii.WORDS["phone"]}')
+                      WHEN 'card' THEN regexp_matches(before, '{pii.WORDS["card"]}') ELSE true END) AS n_likely
+              FROM k GROUP BY rid)
+        SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_likely, 0) AS n_likely
+        FROM d LEFT JOIN g USING (rid)
+    """,
+    "op8_secrets": f"""
+        WITH {_matches({
+            "assign": """(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"\'\']?\\x20*[:=]\\x20*[\"\'\']?[A-Za-z0-9+/_.=-]+""",
+            "access": "AKIA[A-Z0-9]+",
+            "hex": "[0-9a-f]+",
+            "pem": "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+            "host_token": "gh[pousr]_[A-Za-z0-9]{36,}",
+        })},
+        k AS (SELECT rid, kind, nr, start, kind || ':' || start || ':' || (start + length(m)) AS s FROM p
+              WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(m, '^[A-Za-z_]+["'']? *[:=] *["'']?(.*)$', 1)) >= 6
+                  WHEN 'access' THEN length(m) >= 20 WHEN 'hex' THEN length(m) >= 24 ELSE true END),
+        g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                  string_agg(s, ',' ORDER BY start, nr) FILTER (nr < 3) AS base, string_agg(s, ',' ORDER BY start, nr) AS spans FROM k GROUP BY rid)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (rid)
+    """,
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
