@@ -71,6 +71,10 @@ def findings(df: DataFrame, ledger: DataFrame, text: str = "text", doc_id: str =
     return paths.join(whole.select("blob", ordered.alias("found")), "blob").select("doc_id", "blob", "found")
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
+
 def secret_report(df: DataFrame, ledger: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, counts of the base kinds, digest of the base spans and all spans.
 
@@ -82,7 +86,7 @@ def secret_report(df: DataFrame, ledger: DataFrame | None = None, text: str = "t
     base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
     return found.select(
         "doc_id",
-        *(F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS),
+        *(_count(k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
     )
