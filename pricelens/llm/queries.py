@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii, secret_ledger
+from . import exact_dedup, packing, pii, secret_ledger
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op8_secrets(spark, sf_dir):
     return secret_ledger.secret_report(read(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -21,6 +25,7 @@ def op10_exact_dedup(spark, sf_dir):
 QUERIES = {
     "op6_pii": op6_pii,
     "op8_secrets": op8_secrets,
+    "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
