@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, pii, secret_ledger
+from . import exact_dedup, langid, packing, pii, secret_ledger
 from .common import read
 
 
+def op4_langid(spark, sf_dir):
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark, sf_dir):
     return pii.pii_report(read(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_langid": op4_langid,
     "op6_pii": op6_pii,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
