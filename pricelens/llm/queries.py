@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, packing, pii, secret_ledger
+from . import exact_dedup, langid, packing, pii, secret_ledger, toxicity
 from .common import read
 
 
@@ -10,6 +10,10 @@ def op4_langid(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_pii(spark, sf_dir):
     return pii.pii_report(read(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 QUERIES = {
     "op4_langid": op4_langid,
+    "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
