@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import learns, text_of
 
 #: Labelled texts of each class the network is fitted on, and windows of each of them.
-SAMPLE = 1500
-WINDOWS = 8
+SAMPLE = 1200
+WINDOWS = 24
 WIDTH, STRIDE = 64, 32
 FOLDS, HELD = 5, 0
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BITS = 8, 12, 16, 13
@@ -195,13 +195,21 @@ def window_logits(net: Net, windows: list[list[str]]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit(texts: list[tuple[int, list[list[str]]]], epochs: int = 14, rate: float = 0.01, seed: int = 5) -> Net:
-    """Train on (label, windows of words) of each text: Adam on the window that scores highest, and one more of clean texts."""
+def fit(texts: list[tuple[int, list[list[str]]]], toxic_share: float | None = None, epochs: int = 9, rate: float = 0.01, seed: int = 5) -> Net:
+    """Train on (label, windows of words) of each text: Adam on the window that scores highest, and others of clean texts.
+
+    Every fourth text is left out and fits the final curve, weighted so that ``toxic_share`` of them would be toxic.
+    """
     rng = np.random.default_rng(seed)
     texts = [(label, [w for w in windows if w]) for label, windows in texts]
     empty = [label for label, windows in texts if not windows]
     texts = [x for x in texts if x[1]]
     share = np.mean([label for label, _ in texts]) if texts else 0.0
+    late = [x for i, x in enumerate(texts) if i % 4 == 3]
+    if len({label for label, _ in late}) < 2:
+        late = texts
+    else:
+        texts = [x for i, x in enumerate(texts) if i % 4 != 3]
     held: dict[str, int] = {}
     for _, windows in texts:
         for w in {w for window in windows for w in window}:
@@ -218,8 +226,8 @@ def fit(texts: list[tuple[int, list[list[str]]]], epochs: int = 14, rate: float
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for epoch in range(epochs):
-        if epoch < 2:
-            chosen = rng.permutation(len(flat))[: 4 * len(texts)]
+        if epoch < 1:
+            chosen = rng.permutation(len(flat))[: 3 * len(texts)]
         else:
             logits = window_logits(net, [w for _, w in flat])
             order = np.lexsort((-logits, owner))
@@ -241,14 +249,18 @@ def fit(texts: list[tuple[int, list[list[str]]]], epochs: int = 14, rate: float
                 m += 0.1 * (x - m)
                 v += 0.001 * (x * x - v)
                 net.p[k] -= (pace * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
-    logits = window_logits(net, [w for _, w in flat])
-    best = np.full(len(texts), -np.inf)
-    np.maximum.at(best, owner, logits)
-    a, b, best = 1.0, 0.0, np.clip(best, -20, 20)
-    for _ in range(400):  # a logistic curve over the highest windows
-        q = sigmoid(a * best + b) - labels
-        a, b = a - 0.05 * ((q * best).mean() + 1e-3 * (a - 1)), b - 0.2 * q.mean()
-    net.slope, net.shift = float(a), float(b)
+    best = np.array([window_logits(net, windows).max() for _, windows in late]).clip(-20, 20)
+    truth = np.array([label for label, _ in late], np.float64)
+    share = toxic_share or truth.mean()
+    weight = np.where(truth > 0, share / truth.mean(), (1 - share) / (1 - truth.mean()))
+    a, b = 1.0, 0.0
+    for _ in range(60):  # Newton's steps for a logistic curve over the highest windows, kept near slope 1
+        q = sigmoid(a * best + b)
+        w, e = weight * (q * (1 - q) + 1e-4), weight * (q - truth)
+        grad = np.array([(e * best).mean() + 1e-3 * (a - 1), e.mean()])
+        cross = (w * best).mean()
+        a, b = np.array([a, b]) - 0.5 * np.linalg.solve([[(w * best * best).mean() + 1e-3, cross], [cross, w.mean() + 1e-6]], grad)
+    net.slope, net.shift = float(max(a, 0.05)), float(b)
     return net
 
 
@@ -336,8 +348,10 @@ def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
     chosen = drawn(0).unionByName(drawn(1))
     # At most twice ``sample`` rows: their size is bounded, so they may be sent to every task.
     rows = df.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    counts = {r["toxic"]: r["n"] for r in marked.where(F.coalesce(learns("__id", FOLDS, HELD), F.lit(False))).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = counts.get(1, 0) / max(sum(counts.values()), 1)
     found = rows.select("doc_id", "toxic", "text").orderBy("doc_id", "toxic").select("toxic", "text").mapInArrow(_sampled_windows, "toxic int, windows array<array<string>>")
-    return fit([(r["toxic"], r["windows"]) for r in found.toLocalIterator()])
+    return fit([(r["toxic"], r["windows"]) for r in found.toLocalIterator()], share)
 
 
 def _scored(model):
