@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, packing, pii, secret_ledger, toxicity
+from . import exact_dedup, langid, packing, pii, secret_ledger, toxicity, vptree
 from .common import read
 
 
+def op1_vptree(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op4_langid(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_vptree": op1_vptree,
     "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
