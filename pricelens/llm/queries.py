@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, packing, pii, secret_ledger, toxicity, vptree
+from . import exact_dedup, langid, order_minhash, packing, pii, secret_ledger, toxicity, vptree
 from .common import read
 
 
@@ -11,6 +11,10 @@ def op1_vptree(spark, sf_dir):
     return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op2_near_dedup(spark, sf_dir):
+    return order_minhash.near_groups(read(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_vptree": op1_vptree,
+    "op2_near_dedup": op2_near_dedup,
     "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
