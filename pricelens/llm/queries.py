@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, order_minhash, packing, pii, secret_ledger, toxicity, vptree
+from . import exact_dedup, langid, licenses, order_minhash, packing, pii, secret_ledger, toxicity, vptree
 from .common import read
 
 
@@ -15,6 +15,10 @@ def op2_near_dedup(spark, sf_dir):
     return order_minhash.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark, sf_dir):
+    return licenses.license_report(read(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_exact_dedup(spark, sf_dir):
 QUERIES = {
     "op1_vptree": op1_vptree,
     "op2_near_dedup": op2_near_dedup,
+    "op3_licenses": op3_licenses,
     "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
