@@ -98,8 +98,11 @@ def all_spans(pii: str = "pii") -> Column:
     return F.concat(*(F.col(f"{pii}.{k}") for k in KINDS)).cast(SPAN)
 
 
-def redact(df: DataFrame, text: str = "text", at_least: int = 0, mark: str = "[{}]") -> DataFrame:
-    """``df`` with each span of at least that score in ``text`` replaced by its kind; where spans overlap, by the kind of the first of them. Null texts stay null."""
+def redact(df: DataFrame, text: str = "text", at_least: int = 0, mark: str = "[{}]", recount: str | None = None) -> DataFrame:
+    """``df`` with each span of at least that score in ``text`` replaced by its kind, and ``recount`` set to the new length.
+
+    Where spans overlap, all of them go and the kind of the first is put there. Null texts stay null.
+    """
     found = find_pii(df, text, "__pii")
     spans = F.array_sort(F.transform(F.filter(all_spans("__pii"), lambda s: s["score"] >= at_least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     whole = F.col(text)
@@ -117,7 +120,10 @@ def redact(df: DataFrame, text: str = "text", at_least: int = 0, mark: str = "[{
         step,
         lambda done: F.concat(done["out"], F.substring(whole, done["at"] + 1, F.length(whole))),
     )
-    return found.withColumn("__spans", spans).withColumn(text, F.when(F.size("__spans") > 0, masked).otherwise(whole)).select(*df.columns)
+    out = found.withColumn("__spans", spans).withColumn(text, F.when(F.size("__spans") > 0, masked).otherwise(whole))
+    if recount in df.columns:
+        out = out.withColumn(recount, F.length(text).cast(df.schema[recount].dataType))
+    return out.select(*df.columns)
 
 
 def pii_report(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, licenses, order_minhash, packing, pii, secret_ledger, toxicity, vptree
+from . import exact_dedup, langid, licenses, order_minhash, packing, pii, secret_ledger, sentencepiece_viterbi, toxicity, vptree
 from .common import read
 
 
@@ -31,6 +31,10 @@ def op6_pii(spark, sf_dir):
     return pii.pii_report(read(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark, sf_dir):
+    return sentencepiece_viterbi.encoding_report(read(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark, sf_dir):
     return secret_ledger.secret_report(read(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
