@@ -10,6 +10,7 @@ window of bounded size. Words that recur are kept with their ids.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,11 +24,12 @@ from .common import text_of
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Words, and pairs of pieces, that a Python worker keeps; positions between two looks for a common boundary.
-CACHED, LOOK = 300_000, 64
+#: Words of one generation (two are kept) and pairs of pieces that a Python worker keeps; positions between two looks for a common boundary.
+CACHED, PAIRS, LOOK = 500_000, 1_000_000, 64
 
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _UNKNOWN = -2
+_NEVER = float("-inf")
 
 
 class Pieces:
@@ -50,6 +52,10 @@ class Pieces:
         self.id = {self.text[i]: i for i in plain}
         self.id = {t: i for t, i in self.id.items() if len(t) == 1 or self.merged(t) == [t]}
         self.longest = max(map(len, self.id))
+        # How far pieces with the same first two characters reach, which spares most lookups.
+        self.reach: dict[str, int] = {}
+        for t in self.id:
+            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
         self.control = {i for i in ids if model.is_control(i)}
         self._fits: dict[int, bool] = {}
 
@@ -60,16 +66,16 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merging of a short text: the neighbours whose join has the highest score, leftmost first, until none has one."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
+        parts, score = list(text), self.score.get
+        joins = [score(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
+        while joins and (best := max(joins)) > _NEVER:
+            at = joins.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del joins[at]
+            if at:
+                joins[at - 1] = score(parts[at - 1] + parts[at], _NEVER)
+            if at < len(joins):
+                joins[at] = score(parts[at] + parts[at + 1], _NEVER)
         return parts
 
     def fits(self, left: int, right: int) -> bool:
@@ -81,7 +87,7 @@ class Pieces:
         if known is None:
             a, b = self.text[left], self.text[right]
             known = self.merged(a + b) == [a, b]
-            if len(self._fits) >= CACHED:
+            if len(self._fits) >= PAIRS:
                 self._fits.clear()
             self._fits[key] = known
         return known
@@ -117,6 +123,32 @@ class Pieces:
                     window, ends, begin = window[cut:], [ends[cut], *ends[cut + 1 :]], begin + cut
         yield from self._back(window, ends, len(window))
 
+    def word(self, text: str) -> list[int]:
+        """Ids of a short text: the same search, in one window."""
+        get, known, longest = self.id.get, self._fits.get, self.longest
+        last, sizes = [_UNKNOWN], [0]
+        ends = [k + self.reach.get(text[k : k + 2], 1) for k in range(len(text))]
+        for i in range(1, len(text) + 1):
+            for begin in range(max(0, i - longest), i):
+                if ends[begin] < i:
+                    continue
+                piece = get(text[begin:i])
+                if piece is None:
+                    if begin < i - 1:
+                        continue
+                    piece = _UNKNOWN
+                left = last[begin]
+                if left is None:
+                    continue
+                if not begin or left < 0 or piece < 0 or (ok := known(left << 32 | piece)) or (ok is None and self.fits(left, piece)):
+                    last.append(piece)
+                    sizes.append(i - begin)
+                    break
+            else:
+                last.append(None)
+                sizes.append(0)
+        return self._back(text, list(zip(last, sizes)), len(text))
+
     def _back(self, window: str, ends: list, at: int) -> list[int]:
         found = []
         while at:
@@ -127,19 +159,33 @@ class Pieces:
 
 
 class _Words(dict):
-    """Little-endian 32-bit ids of words that follow a space."""
+    """Little-endian 32-bit ids of words that follow a space, or with ``lead=""`` of those that follow a line's end."""
 
-    def __init__(self, pieces: Pieces):
+    def __init__(self, pieces: Pieces, lead: str = SPACE):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.lead = pieces, lead
+        self.before: dict[str, bytes] = {}
+        self.lines = _Words(pieces, "") if lead else self
+        # No piece holds a line's end, so what stands on either side of one is read alone.
+        self.end = None if any("\n" in t for t in pieces.id) else struct.pack("<I", pieces.byte_id[10]) if 10 in pieces.byte_id else None
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.fromiter(self.pieces.segments(SPACE + word), "<u4").tobytes()
-        if len(self) >= CACHED:
+        if self.end and "\n" in word:
+            head, *rest = word.split("\n")
+            return self[head] + b"".join(self.end + self.lines[x] for x in rest)
+        if not word and not self.lead:
+            return b""
+        if len(word) >= 48:
+            return np.fromiter(self.pieces.segments(self.lead + word), "<u4").tobytes()
+        if len(self) >= CACHED:  # words that come again are taken over from the generation before
+            self.before = dict(self)
             self.clear()
-        if len(word) < 48:
-            self[word] = ids
-        return ids
+        packed = self.before.get(word)
+        if packed is None:
+            ids = self.pieces.word(self.lead + word)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = packed
+        return packed
 
 
 class Codec:
