@@ -48,6 +48,11 @@ ITEM = "struct<nom_produit:string,prix_unitaire_ou_kg:double,unites:int>"
 TICKET = f"struct<date:string,chaine_supermarche:string,adresse:string,produits:array<{ITEM}>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` worked out once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _any_of(line: Column, words: list[str]) -> Column:
     low = F.lower(line)
     hit = low.contains(words[0])
@@ -186,12 +191,13 @@ def receipt_items(lines: Column, header: Column) -> Column:
 def text_ticket(text: Column) -> Column:
     """The ticket that a transcribed receipt shows."""
     lines = clean_lines(text)
-    return F.transform(
-        F.array(F.struct(lines.alias("lines"), receipt_header(lines).alias("header"))),
-        lambda x: F.struct(
-            receipt_date(x["lines"]).alias("date"), x["header"]["chain"].alias("chaine_supermarche"), x["header"]["address"].alias("adresse"), receipt_items(x["lines"], x["header"]["used"]).alias("produits")
+    return _let(
+        lines,
+        lambda x: _let(
+            receipt_header(x),
+            lambda header: F.struct(receipt_date(x).alias("date"), header["chain"].alias("chaine_supermarche"), header["address"].alias("adresse"), receipt_items(x, header["used"]).alias("produits")),
         ),
-    )[0]
+    )
 
 
 def unfenced(text: Column) -> Column:
@@ -212,7 +218,7 @@ def json_candidates(text: Column) -> Column:
 def _parsed(text: Column) -> Column:
     """The ticket of a JSON text, with or without its wrapper; null if it isn't one. Values are still texts."""
     bare = F.from_json(text, RECEIPT["ticket"].dataType)
-    return F.coalesce(F.from_json(text, RECEIPT)["ticket"], F.when(bare["date"].isNotNull() | bare["chaine_supermarche"].isNotNull() | bare["produits"].isNotNull(), bare))
+    return F.coalesce(F.from_json(text, RECEIPT)["ticket"], _let(bare, lambda bare: F.when(bare["date"].isNotNull() | bare["chaine_supermarche"].isNotNull() | bare["produits"].isNotNull(), bare)))
 
 
 def _blank(c: Column) -> Column:
@@ -223,15 +229,15 @@ def best_json(text: Column) -> Column:
     """Of the candidates in a text the ticket with the most fields and named items; the earliest of equals."""
     scored = F.transform(
         json_candidates(text),
-        lambda c: F.transform(
-            F.array(_parsed(c)),
+        lambda c: _let(
+            _parsed(c),
             lambda t: F.struct(
                 (
                     F.when(_blank(t["chaine_supermarche"]) != "", 5).otherwise(0) + F.when(_blank(t["date"]) != "", 3).otherwise(0) + F.when(_blank(t["adresse"]) != "", 1).otherwise(0)
                     + 10 * F.coalesce(F.size(F.filter(t["produits"], lambda p: _blank(p["nom_produit"]) != "")), F.lit(0))
                 ).alias("score"), t.alias("ticket"),
             ),
-        )[0],
+        ),
     )
     valid = F.filter(scored, lambda s: s["ticket"].isNotNull())
     nothing = F.struct(F.lit(-1).alias("score"), F.lit(None).cast(RECEIPT["ticket"].dataType).alias("ticket"))
@@ -251,7 +257,11 @@ def json_date(text: Column) -> Column:
 
 def normal_ticket(raw: Column) -> Column:
     """struct(ticket, reason): a JSON ticket with typed values, or what is wrong with it."""
-    day, chain = json_date(_blank(raw["date"])), _blank(raw["chaine_supermarche"])
+    return _let(raw, lambda r: _let(json_date(_blank(r["date"])), lambda day: _normal_ticket(r, day)))
+
+
+def _normal_ticket(raw: Column, day: Column) -> Column:
+    chain = _blank(raw["chaine_supermarche"])
     price_text = lambda p: F.regexp_replace(F.replace(F.trim(p["prix_unitaire_ou_kg"]), F.lit(","), F.lit(".")), r"[^0-9.]", "")
     price = lambda p: F.when(_blank(p["prix_unitaire_ou_kg"]) == "", 0.0).otherwise(F.when(price_text(p) == "", 0.0).otherwise(price_text(p).try_cast("double")))
     units = lambda p: F.when(_blank(p["unites"]) == "", 1).otherwise(F.greatest(F.lit(1), F.bround(p["unites"].try_cast("double"), 0).cast("int")))
@@ -285,8 +295,8 @@ def output_error(text: Column, mode: str) -> Column:
         return empty.when(F.size(lines) < 2, "transcription too short").when(F.trim(text).startswith("{") & text.contains('"ticket"'), "model returned JSON instead of transcription")
     if mode not in ("json", "multipass"):
         return empty
-    ticket = normal_ticket(best_json(text))["ticket"]
-    return empty.when(ticket.isNull(), "invalid or missing ticket JSON").when((ticket["chaine_supermarche"] == "") & (F.size(ticket["produits"]) == 0), "empty ticket")
+    said = lambda ticket: F.when(ticket.isNull(), "invalid or missing ticket JSON").when((ticket["chaine_supermarche"] == "") & (F.size(ticket["produits"]) == 0), "empty ticket")
+    return empty.otherwise(_let(normal_ticket(best_json(text))["ticket"], said))
 
 
 def merge_partial(parts: DataFrame, key: str = "ticket_id", order: str = "pass_nr", text: str = "text") -> DataFrame:
@@ -309,7 +319,7 @@ def read_receipts(df: DataFrame, key: str = "ticket_id", text: str = "text") ->
 def ticket_rows(read: DataFrame, key: str = "ticket_id") -> DataFrame:
     """key, enseigne, ticket_date, total_amount: the total is null without items."""
     total = F.aggregate("ticket.produits", F.lit(0).cast("decimal(18,2)"), lambda a, p: (a + p["prix_unitaire_ou_kg"].cast("decimal(12,2)") * F.greatest(p["unites"], F.lit(1))).cast("decimal(18,2)"))
-    return read.where("ticket is not null").select(
+    return read.where("reason is null").select(
         key,
         F.nullif(F.trim("ticket.chaine_supermarche"), F.lit("")).alias("enseigne"),
         F.try_to_timestamp("ticket.date", F.lit("yyyyMMdd HH:mm")).cast("date").alias("ticket_date"),

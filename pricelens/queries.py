@@ -154,7 +154,7 @@ def raw_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(od, li.l_orderkey == od.o_orderkey).select(
         F.when(k % 97 == 0, F.lit(" ")).otherwise(F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("id"), F.col("l_shipdate").cast("date").alias("date"),
         F.concat(bare, F.when(k % 23 == 0, (digit + 1) % 10).otherwise(digit).cast("string")).alias("product_code"),
-        (F.floor(F.col("l_extendedprice") / F.col("l_quantity")) / 100 * F.when(k % 53 == 0, 100.0).otherwise(1.0)).alias("price"),
+        (F.floor(F.col("l_extendedprice") / F.col("l_quantity")) / F.when(k % 53 == 0, 1.0).otherwise(100.0)).alias("price"),
         F.when(k % 3 == 0, F.floor(F.col("l_extendedprice") / F.col("l_quantity")) / 100 * 1.25).alias("price_without_discount"), (F.col("l_discount") > 0.05).alias("price_is_discounted"),
         F.when(k % 31 == 0, "USD").otherwise(" eur ").alias("currency"), F.when(k % 41 == 0, "Belgium").when(k % 5 == 0, "FRA").otherwise("france").alias("location_osm_address_country"),
         F.when(k % 37 == 0, "letter").when(k % 2 == 0, "price-tag").otherwise("Receipt").alias("proof_type"), F.concat(F.lit("Carrefour  Market, "), F.col("l_suppkey").cast("string")).alias("location_osm_display_name"),
@@ -187,7 +187,7 @@ def run_metrics(spark, sf_dir):
 
 _DIGIT = "(10 - list_sum([cast(substr(bare, i, 1) AS INT) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END FOR i IN range(1, 13)]) % 10) % 10"
 RAW_SQL = f"""raw AS (SELECT *, CASE WHEN k % 97 = 0 THEN NULL ELSE l_orderkey || '-' || l_linenumber END AS id, bare || CASE WHEN k % 23 = 0 THEN ({_DIGIT} + 1) % 10 ELSE {_DIGIT} END AS product_code,
-        floor(l_extendedprice / l_quantity) / 100 * CASE WHEN k % 53 = 0 THEN 100.0 ELSE 1.0 END AS price, CASE WHEN k % 3 = 0 THEN floor(l_extendedprice / l_quantity) / 100 * 1.25 END AS full_price
+        floor(l_extendedprice / l_quantity) / CASE WHEN k % 53 = 0 THEN 1.0::DOUBLE ELSE 100 END AS price, CASE WHEN k % 3 = 0 THEN floor(l_extendedprice / l_quantity) / 100 * 1.25 END AS full_price
     FROM (SELECT *, l_orderkey * 7 + l_linenumber AS k, lpad(cast(l_partkey AS VARCHAR), 12, '3') AS bare FROM lineitem JOIN orders ON l_orderkey = o_orderkey)),
     judged AS (SELECT *, CASE WHEN id IS NULL THEN 'MISSING_REQUIRED_FIELD' WHEN k % 31 = 0 THEN 'INVALID_CURRENCY' WHEN k % 41 = 0 THEN 'INVALID_COUNTRY' WHEN k % 37 = 0 THEN 'INVALID_PROOF_TYPE'
         WHEN NOT price BETWEEN 0.01 AND 500 THEN 'OUT_OF_RANGE_PRICE' WHEN CAST(l_shipdate AS DATE) > DATE '2001-01-01' THEN 'FUTURE_DATE' WHEN k % 23 = 0 THEN 'INVALID_EAN'
