@@ -10,6 +10,9 @@ from . import fixed
 #: White space as Python's ``strip`` sees it.
 WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: The same characters one by one, for trimming without a pattern.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 PRICE = "decimal(18,6)"
 
 
@@ -19,7 +22,7 @@ def literal_map(values: dict[str, str]) -> Column:
 
 def stripped(c: Column) -> Column:
     """Without white space at the ends; blank becomes null."""
-    return F.nullif(F.regexp_replace(c.cast("string"), f"^{WHITE}+|{WHITE}+$", ""), F.lit(""))
+    return F.nullif(F.btrim(c.cast("string"), F.lit(BLANKS)), F.lit(""))
 
 
 def collapsed(c: Column) -> Column:
