@@ -21,6 +21,8 @@ from .common import learns, text_of
 SAMPLE = 3000
 BITS = 15
 FOLDS, HELD = 3, 1
+#: Languages up to which their counts are sent to every task; beyond that they are joined by shuffle.
+MANY = 10_000
 UNKNOWN = "und"
 
 _ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)]
@@ -150,9 +152,10 @@ def train(df: DataFrame, sample: int = SAMPLE) -> Model:
     # Each language gives an equal share of the sample, or all it has: a row is drawn when its hash is low enough. Copies share
     # a hash, so the bound is also set as a limit.
     numbers = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = sample / max(numbers.count(), 1)
+    languages = numbers.count()
+    share = sample / max(languages, 1)
     drawn = (
-        rows.join(numbers, "lang")
+        rows.join(F.broadcast(numbers) if languages <= MANY else numbers, "lang")
         .withColumn("draw", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
         .where(F.col("draw") < F.lit(share * (1 << 30)) / F.col("n"))
         .orderBy("draw", "doc_id")
