@@ -354,23 +354,22 @@ def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
     return fit([(r["toxic"], r["windows"]) for r in found.toLocalIterator()], share)
 
 
-def _scored(model):
+def _scored(model, columns: list[str]):
     def run(batches):
         scorer = Scorer(model.value)
         for batch in batches:
-            score = scorer.scores(batch.column("text").to_pylist())
-            columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=[n for n in batch.schema.names if n != "text"] + ["score", "predicted"])
+            score = scorer.scores([text or "" for text in batch.column("text").to_pylist()])
+            kept = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=[*columns, "__score", "__predicted"])
 
     return run
 
 
-def score_texts(df: DataFrame, net: Net) -> DataFrame:
-    """``df`` (with a column ``text``, and others) without its text, and with ``score`` and ``predicted``."""
+def score_texts(df: DataFrame, net: Net, columns: list[str]) -> DataFrame:
+    """Those columns of ``df``, whose ``text`` is scored, with ``__score`` and ``__predicted``."""
     fitted = df.sparkSession.sparkContext.broadcast(net)  # its vocabulary is that of the training sample
-    others = [f for f in df.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "score double", "predicted int"])
-    return df.withColumn("text", text_of()).mapInArrow(_scored(fitted), schema)
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), "`__score` double", "`__predicted` int"])
+    return df.mapInArrow(_scored(fitted, columns), schema)
 
 
 def rate(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -381,11 +380,11 @@ def rate(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     net = train(df, labels, sample)
     held = ~F.coalesce(learns("doc_id", FOLDS, HELD), F.lit(True))
-    return score_texts(df.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), net).select("doc_id", "held_out", "score", "predicted")
+    scored = score_texts(df.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), net, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` whose score is under the threshold, with the columns of ``df``."""
     net = train(df, labels, sample)
-    kept = df.withColumn("__text", F.col("text"))
-    return score_texts(kept, net).where(F.col("score") < threshold).withColumn("text", F.col("__text")).select(*df.columns)
+    return score_texts(df, net, df.columns).where(F.col("__score") < threshold).select(*df.columns)
