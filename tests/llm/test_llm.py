@@ -87,6 +87,48 @@ def test_near_groups(spark):
     assert len(odd) == len(ODD) and order_minhash.near_groups(docs(spark, [])).count() == 0
 
 
+def linked_pairs(texts):
+    """Classes of ``texts`` by comparing all pairs: the smallest position of each one's class."""
+    hashes, root = [order_minhash.shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(hashes):
+        for j in range(i):
+            if root[i] != root[j] and order_minhash.aligned(a, hashes[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_near_copies_of_a_large_group_against_brute_force(spark, monkeypatch):
+    """Pairs at just over 0.8 which leaders and hubs do not meet, also where a value is dealt over blocks."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 16)
+    rng = random.Random(8)
+    base, texts = words(rng, 60).split(), []
+    for _ in range(150):
+        w = base.copy()
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        texts.append(" ".join(w))
+    got = {r.doc_id: r.class_id for r in order_minhash.near_groups(docs(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == linked_pairs(texts)
+
+
+def test_last_pass_takes_candidates_as_the_others_do(spark):
+    """Links of a shared value that agree in 2 to 4 of the values: no leader or hub is there to find them first."""
+    rng, found = random.Random(9), []
+    while len(found) < 6:
+        w = words(rng, 34).split()
+        pair = [" ".join(w), " ".join([*w[:-3], "yyy", *w[-2:]])]
+        a, b = map(order_minhash.shingles, pair)
+        if order_minhash.aligned(a, b) and 2 <= (order_minhash.sketch(a) == order_minhash.sketch(b)).sum() < 5:
+            found += pair
+    frame = spark.createDataFrame([(bytearray([k]), t) for k, t in enumerate(found)], "tid binary, text string")
+    kind = "tid binary, sketch array<long>, bins array<short>, n int"
+    sketches = frame.mapInArrow(order_minhash._sketched, kind)
+    members = sketches.select("tid", F.posexplode("sketch").alias("nr", "value")).select("tid", "nr", F.xxhash64("nr", "value").alias("value"))
+    links = order_minhash._rest(members, frame, sketches, spark.createDataFrame([], "node binary, root binary"))
+    assert rows(links.select("u", "v")) == [(bytes([k]), bytes([k + 1])) for k in (0, 2, 4)]
+
+
 def test_alignment_against_dynamic_programming():
     rng = np.random.default_rng(1)
     for _ in range(200):
