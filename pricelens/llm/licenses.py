@@ -1,10 +1,11 @@
 """Licence scan: a trained classifier of paragraphs, confirmed against templates.
 
-A paragraph is a line. Those that hold one of the ``ANCHORS`` are read as sets of words and word pairs; a multinomial logistic
-regression with an L1 penalty, trained on the driver from the notices below, gives each licence family and ``unknown`` a
-probability, with one temperature fitted on notices left out of training. A prediction stands if it is likely enough and the
-paragraph holds most of the word pairs of one of the family's notices; otherwise the paragraph is unknown. All of the scan is
-built from array expressions within a row: no shuffle, and no Python on the executors.
+A text is split at blank lines. Each paragraph is read line by line and over neighbouring lines, since notices are wrapped and
+several may follow each other without a blank line: a window is a line, or a line with up to ``WRAPPED - 1`` more behind it. All
+windows are read as sets of words and word pairs; a multinomial logistic regression with an L1 penalty, trained on the driver from
+the notices below, gives each licence family and ``unknown`` a probability, with one temperature fitted on notices left out of
+training. A prediction stands if it is likely enough and the window holds most of the word pairs of one of the family's notices.
+All of the scan is built from array expressions within a row: no shuffle, and no Python on the executors.
 """
 
 from __future__ import annotations
@@ -33,6 +34,21 @@ NOTICES = {
     "public-domain": ["This work is released into the public domain", "dedicated to the public domain under the CC0 license", "SPDX-License-Identifier: CC0-1.0", "This is free and unencumbered software released into the public domain"],
     "proprietary": ["All rights reserved.", "Copyright 2020 Example Ltd. All rights reserved", "proprietary and confidential, unauthorized copying is prohibited under copyright"],
 }
+#: Titles and usual short names of each family. Like all notices of few word pairs they must be held whole.
+TITLES = {
+    "apache": ["Apache License", "Apache 2.0"],
+    "mit": ["MIT License", "The MIT License (MIT)"],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License"],
+    "gpl": ["GNU General Public License", "GPL v3", "GPL v2", "GNU GPL"],
+    "lgpl": ["GNU Lesser General Public License", "LGPL v3", "LGPL v2.1", "GNU LGPL"],
+    "agpl": ["GNU Affero General Public License", "AGPL v3", "GNU AGPL"],
+    "mpl": ["Mozilla Public License", "MPL 2.0"],
+    "cc-by": ["CC BY 4.0", "CC BY 3.0"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC BY-NC 3.0"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC BY-SA 3.0"],
+    "public-domain": ["CC0 1.0"],
+    "proprietary": [],
+}
 #: Sentences with words of licences that license nothing.
 OTHERS = [
     "his driving licence was taken away", "the license plate of the car", "permission denied", "she asked for permission to leave", "a licensed plumber came by", "the copyright dispute went to court", "under warranty for two years",
@@ -43,6 +59,10 @@ ANCHORS = ("licen", "copyright", "rights reserved", "permission", "redistribut",
 UNKNOWN = "unknown"
 #: Least probability of a family, and least share of a notice's word pairs that a paragraph must hold.
 LIKELY, CONFIRMED = 0.5, 0.6
+#: A notice of at most so many word pairs must be held whole.
+WHOLE = 3
+#: Most lines of a paragraph that are read together.
+WRAPPED = 3
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -53,6 +73,21 @@ def grams_of(words: list[str]) -> list[str]:
     return sorted({*words, *map(" ".join, zip(words, words[1:]))})
 
 
+def templates() -> dict[str, list[list[str]]]:
+    """The word pairs of each notice and title of each family."""
+    return {f: [sorted({" ".join(x) for x in zip(words_of(n), words_of(n)[1:])}) for n in [*notices, *TITLES[f]]] for f, notices in NOTICES.items()}
+
+
+def _signal() -> str:
+    """A pattern that finds something in all that any template can confirm: of each template so many word pairs that a paragraph without them holds too few."""
+    chosen: set[str] = set()
+    for pairs in (x for family in templates().values() for x in family):
+        spare = 0 if len(pairs) <= WHOLE else math.floor(len(pairs) * (1 - CONFIRMED) + 1e-9)
+        chosen.update(sorted(pairs, key=lambda p: (-len(p), p))[: spare + 1])
+    first = {c: sorted(p[1:].replace(" ", "[^a-z0-9]+") for p in chosen if p[0] == c) for c in {p[0] for p in chosen}}
+    return "(?i)(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(first.items())) + ")(?![a-z0-9])"
+
+
 @dataclass
 class Model:
     families: list[str]  # the last is unknown
@@ -66,7 +101,7 @@ def _examples(seed: int) -> list[tuple[str, list[str]]]:
     rng, found = random.Random(seed), []
     filler = "code here by the authors file project a of and in to for it work 2019 2024".split()
     for family, notices in NOTICES.items():
-        for notice in notices:
+        for notice in [*notices, *TITLES[family]]:
             words = words_of(notice)
             found += [(family, words), (family, words[1:] if len(words) > 4 else words)]
             for _ in range(4):
@@ -129,17 +164,18 @@ def _grams(paragraph: Column) -> Column:
 
 
 def find_licenses(df: DataFrame, text: str = "text", into: str = "licenses", model: Model | None = None) -> DataFrame:
-    """``df`` with ``into``: an array of (nr, paragraph, family, chance), one for each paragraph with an anchor.
+    """``df`` with ``into``: an array of (nr, paragraph, family, chance), one for each licence found, and for each other line with an anchor.
 
-    nr counts lines from 0; family is ``unknown`` where no licence was confirmed. Null and empty texts have none. Every row is kept.
+    nr counts lines from 0, and is the first one's where a notice is wrapped over lines. family is ``unknown`` where no licence was
+    confirmed. Null and empty texts have none. Every row is kept.
     """
     model = model or train()
     k = len(model.families)
     weights, bias = _literal({g: [w / model.temperature for w in r] for g, r in model.weights.items()}, "map<string,array<double>>"), _literal([b / model.temperature for b in model.bias], "array<double>")
     known = _literal(sorted(model.weights), "array<string>")
-    pairs = {f: [sorted({" ".join(x) for x in zip(words_of(n), words_of(n)[1:])}) for n in notices] for f, notices in NOTICES.items()}
+    pairs = templates()
     notices, families = _literal([*pairs.values(), []], "array<array<array<string>>>"), _literal(model.families, "array<string>")
-    anchor = "(?i)" + "|".join(ANCHORS)
+    anchor, signal = "(?i)" + "|".join(ANCHORS), _signal()
     body = F.coalesce(F.col(text), F.lit(""))
 
     def classified(grams: Column) -> Column:
@@ -150,16 +186,39 @@ def find_licenses(df: DataFrame, text: str = "text", into: str = "licenses", mod
         e = p["e"]
         best = F.array_position(e, F.array_max(e)).cast("int")
         chance = F.array_max(e) / F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-        held = F.array_max(F.transform(F.try_element_at(notices, best), lambda n: F.size(F.array_intersect(n, p["grams"])) / F.greatest(F.size(n), F.lit(1))))
-        sure = (best < k) & (chance >= LIKELY) & (held >= CONFIRMED)
-        return F.struct(p["nr"].alias("nr"), p["paragraph"].alias("paragraph"), F.when(sure, F.try_element_at(families, best)).otherwise(UNKNOWN).alias("family"), chance.alias("chance"))
-
-    lines = F.filter(F.transform(F.split(body, "\n"), lambda p, i: F.struct(i.alias("nr"), p.alias("paragraph"))), lambda p: p["paragraph"].rlike(anchor))
-    read = F.transform(lines, lambda p: F.struct(p["nr"].alias("nr"), p["paragraph"].alias("paragraph"), _grams(p["paragraph"]).alias("grams")))
-    weighed = F.transform(read, lambda p: F.struct(p["nr"].alias("nr"), p["paragraph"].alias("paragraph"), p["grams"].alias("grams"), classified(p["grams"]).alias("e")))
-    found = F.transform(weighed, judged)
+        share = lambda n: F.size(F.array_intersect(n, p["grams"])) / F.greatest(F.size(n), F.lit(1))
+        held = F.exists(F.try_element_at(notices, best), lambda n: share(n) >= F.when(F.size(n) <= WHOLE, F.when(F.size(n) > 0, 1.0).otherwise(2.0)).otherwise(CONFIRMED))
+        sure = (best < k) & (chance >= LIKELY) & held
+        return F.struct(p["nr"].alias("nr"), p["span"].alias("span"), p["paragraph"].alias("paragraph"), F.when(sure, F.try_element_at(families, best)).otherwise(UNKNOWN).alias("family"), chance.alias("chance"))
+
+    lines, some = F.col("__lines"), body.rlike(anchor) | body.rlike(signal)
+
+    def window(i: Column, span: int) -> Column:
+        held = F.slice(lines, i + 1, span)
+        whole = (F.size(held) == span) & ~F.exists(held, lambda x: F.trim(F.translate(x, "\r\t", "  ")) == "") if span > 1 else F.lit(True)
+        return F.struct(i.alias("nr"), F.lit(span).alias("span"), F.when(whole, F.array_join(held, "\n")).alias("paragraph"))
+
+    windows = F.flatten(F.transform(lines, lambda _, i: F.array(*(window(i, span) for span in range(1, WRAPPED + 1)))))
+    windows = F.filter(windows, lambda p: p["paragraph"].rlike(signal) | ((p["span"] == 1) & p["paragraph"].rlike(anchor)))
+    read = F.transform(windows, lambda p: F.struct(*(p[c].alias(c) for c in ("nr", "span", "paragraph")), _grams(p["paragraph"]).alias("grams")))
+    weighed = F.transform(read, lambda p: F.struct(*(p[c].alias(c) for c in ("nr", "span", "paragraph", "grams")), classified(p["grams"]).alias("e")))
+    judgements = F.col("__judged")
+    meet = lambda a, b: (a["nr"] < b["nr"] + b["span"]) & (b["nr"] < a["nr"] + a["span"])
+    sure = lambda p: p["family"] != UNKNOWN
+
+    def chosen(judgements: Column) -> Column:
+        """Licences by the fewest lines that show them, and of those of one family that overlap the first."""
+        rank = F.array_sort(F.filter(judgements, sure), lambda a, b: F.when(a["span"] != b["span"], a["span"] - b["span"]).otherwise(a["nr"] - b["nr"]))
+        none = F.filter(rank, lambda _: F.lit(False))
+        return F.aggregate(rank, none, lambda acc, p: F.when(F.exists(acc, lambda q: meet(p, q) & (p["family"] == q["family"])), acc).otherwise(F.concat(acc, F.array(p))))
+
+    # Besides, a line with an anchor that no licence takes.
+    other = F.filter(judgements, lambda p: ~sure(p) & (p["span"] == 1) & p["paragraph"].rlike(anchor) & ~F.exists("__sure", lambda q: meet(p, q)))
+    found = F.array_sort(F.transform(F.concat("__sure", other), lambda p: F.struct(*(p[c].alias(c) for c in ("nr", "paragraph", "family", "chance")))))
     nothing = F.array().cast("array<struct<nr:int,paragraph:string,family:string,chance:double>>")
-    return df.withColumn(into, F.when(body.rlike(anchor), found).otherwise(nothing))
+    split = df.withColumn("__lines", F.when(some, F.split(body, "\n")))
+    judged_all = split.withColumn("__judged", F.transform(weighed, judged)).withColumn("__sure", chosen(judgements))
+    return judged_all.withColumn(into, F.coalesce(found, nothing)).drop("__lines", "__judged", "__sure")
 
 
 def license_report(df: DataFrame, text: str = "text", doc_id: str = "doc_id", model: Model | None = None) -> DataFrame:

@@ -301,6 +301,17 @@ def test_licenses(spark):
     assert [(r.licenses, r.n_found, r.n_unknown) for r in got] == list(cases.values())
 
 
+def test_wrapped_licenses_and_titles(spark):
+    cases = {
+        "x\n\nLicensed under the Apache\nLicense, Version 2.0.\n\ny": ("apache", 1, 0), "This work is licensed under the GNU\nGeneral Public License, version 3.": ("gpl", 1, 0), "under the GNU\nLesser General\nPublic License": ("lgpl", 1, 0),
+        "Distributed under the terms of the GPL v3": ("gpl", 1, 0), "CC BY 4.0": ("cc-by", 1, 0), "MIT License": ("mit", 1, 0), "The MIT License (MIT)": ("mit", 1, 0), "GNU GENERAL PUBLIC LICENSE": ("gpl", 1, 0),
+        "Licensed under the Apache\n\nLicense, Version 2.0.": ("", 0, 2), "All rights reserved. Licensed under the Apache\nLicense, Version 2.0.": ("apache,proprietary", 2, 0), "the apache helicopter\nmit professors say": ("", 0, 0),
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    got = licenses.license_report(df).orderBy("doc_id").collect()
+    assert [(r.licenses, r.n_found, r.n_unknown) for r in got] == list(cases.values())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
