@@ -52,12 +52,18 @@ class Pieces:
         self.id = {self.text[i]: i for i in plain}
         self.id = {t: i for t, i in self.id.items() if len(t) == 1 or self.merged(t) == [t]}
         self.longest = max(map(len, self.id))
-        # How far pieces with the same first two characters reach, which spares most lookups.
-        self.reach: dict[str, int] = {}
-        for t in self.id:
-            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
+        # A trie: for each character the piece that ends with it, if any, and the characters that go on from there.
+        self.trie: dict[str, list] = {}
+        for t, i in self.id.items():
+            level, node = self.trie, None
+            for c in t:
+                node = level.setdefault(c, [None, {}])
+                level = node[1]
+            node[0] = i
         self.control = {i for i in ids if model.is_control(i)}
-        self._fits: dict[int, bool] = {}
+        #: For a piece on the left, whether it may be followed by those on the right met so far; and how many pairs are kept.
+        self._fits: dict[int, dict[int, bool]] = {}
+        self._pairs = 0
 
     @classmethod
     @lru_cache(maxsize=4)
@@ -82,14 +88,15 @@ class Pieces:
         """Whether the piece ``right`` may follow ``left``; characters without a piece fit everywhere."""
         if left < 0 or right < 0:
             return True
-        key = left << 32 | right
-        known = self._fits.get(key)
+        known = self._fits.get(left, {}).get(right)
         if known is None:
             a, b = self.text[left], self.text[right]
             known = self.merged(a + b) == [a, b]
-            if len(self._fits) >= PAIRS:
+            if self._pairs >= PAIRS:
                 self._fits.clear()
-            self._fits[key] = known
+                self._pairs = 0
+            self._fits.setdefault(left, {})[right] = known
+            self._pairs += 1
         return known
 
     def segments(self, chars: Iterator[str] | str) -> Iterator[int]:
@@ -124,30 +131,38 @@ class Pieces:
         yield from self._back(window, ends, len(window))
 
     def word(self, text: str) -> list[int]:
-        """Ids of a short text: the same search, in one window."""
-        get, known, longest = self.id.get, self._fits.get, self.longest
-        last, sizes = [_UNKNOWN], [0]
-        ends = [k + self.reach.get(text[k : k + 2], 1) for k in range(len(text))]
-        for i in range(1, len(text) + 1):
-            for begin in range(max(0, i - longest), i):
-                if ends[begin] < i:
-                    continue
-                piece = get(text[begin:i])
+        """Ids of a short text: the same search, in one window. From each boundary the trie is walked until no piece goes on."""
+        whole = self.id.get(text)
+        if whole is not None:
+            return [whole]
+        n, trie, fits = len(text), self.trie, self.fits
+        last: list[int | None] = [None] * (n + 1)
+        sizes = [0] * (n + 1)
+        last[0] = _UNKNOWN
+        for begin in range(n):
+            left = last[begin]
+            if left is None:
+                continue
+            free = not begin or left < 0
+            known = None if free else self._fits.get(left)
+            level, i = trie, begin
+            while i < n:
+                step = level.get(text[i])
+                i += 1
+                if step is None:
+                    if i == begin + 1 and last[i] is None:
+                        last[i], sizes[i] = _UNKNOWN, 1
+                    break
+                piece, level = step
                 if piece is None:
-                    if begin < i - 1:
+                    if i > begin + 1:
                         continue
                     piece = _UNKNOWN
-                left = last[begin]
-                if left is None:
-                    continue
-                if not begin or left < 0 or piece < 0 or (ok := known(left << 32 | piece)) or (ok is None and self.fits(left, piece)):
-                    last.append(piece)
-                    sizes.append(i - begin)
-                    break
-            else:
-                last.append(None)
-                sizes.append(0)
-        return self._back(text, list(zip(last, sizes)), len(text))
+                if last[i] is None:
+                    ok = True if free or piece < 0 else known.get(piece) if known is not None else None
+                    if ok or (ok is None and fits(left, piece)):
+                        last[i], sizes[i] = piece, i - begin
+        return self._back(text, list(zip(last, sizes)), n)
 
     def _back(self, window: str, ends: list, at: int) -> list[int]:
         found = []
@@ -205,8 +220,9 @@ class Codec:
         if not text:
             return b""
         if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
-            marked = SPACE + text.replace(" ", SPACE)
-            return b"".join(np.fromiter(self.pieces.segments(x), "<u4").tobytes() for x in _RUNS.findall(marked))
+            # Runs of spaces, each with the word behind it; what follows one space is kept with the other words.
+            runs, words, others = _RUNS.findall(SPACE + text.replace(" ", SPACE)), self.words, self.words.lines
+            return b"".join(words[x[1:]] if x[0] == SPACE and x[1:2] != SPACE and len(x) > 1 else others[x] for x in runs)
         return b"".join(map(self.words.__getitem__, text.split(" ")))
 
     def decode(self, ids: bytes) -> str:
