@@ -1,92 +1,127 @@
 """Secret scan through an incremental blob ledger.
 
-Every version of a text is a blob, addressed by the digest of its bytes. The ledger says which rules, by name and version, have
-read a blob and what they found. A scan reads only blobs with rules that have not read them yet, each blob once however many
-paths hold it; findings are then joined back to all paths.
+Every version of a text is a blob, addressed by the digest of its bytes. The ledger is a table that says which rules, by name and
+version, have read a blob and what each found. A scan appends to it: it reads only blobs with rules that have not read them yet, with
+those rules alone, each blob once however many paths and versions hold it. Findings are then joined back to all paths, those of
+retired rule versions left out.
 
 Fixed values: the patterns and limits of the three base kinds, which the results must follow.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
-from .spans import SPAN, find_spans, joined
-
-ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
-ACCESS = r"AKIA[A-Z0-9]{16,}+"
-HEX = r"[0-9a-f]{24,}+"
-PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-HOST_TOKEN = r"gh[pousr]_[A-Za-z0-9]{36,}+"
-
-KINDS = ("assign", "access", "hex", "pem", "host_token")
-BASE_KINDS = KINDS[:3]
-#: Name and version of each rule; a new version makes every blob unseen for that rule.
-RULES = {"assign": "assign@1", "access": "access@1", "hex": "hex@1", "pem": "pem@1", "host_token": "host_token@1"}
-LEDGER = f"blob string, rules array<string>, found {SPAN}"
-
-
-def _rule(kind: str, text: Column, due: Column) -> Column:
-    pattern = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "pem": PEM, "host_token": HOST_TOKEN}[kind]
-    gate = {
-        "assign": text.rlike(r"""(?i:password|passwd|secret|token|key)["']?\x20*[:=]"""),
-        "access": text.contains("AKIA"),
-        "hex": text.rlike(HEX),
-        "pem": text.contains("-----BEGIN "),
-        "host_token": text.rlike("gh[pousr]_"),
-    }[kind]
-    keep = (lambda m: F.length(F.regexp_extract(m, pattern, 1)) >= 6) if kind == "assign" else None
-    return find_spans(kind, text, pattern, due & gate, keep)
-
-
-def blobs_of(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``blob``, the digest of its text; null counts as empty."""
-    return df.withColumn("blob", F.sha2(text_of(text).cast("binary"), 256))
-
-
-def scan_unseen(df: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: dict[str, str] = RULES) -> DataFrame:
-    """New rows of the ledger: for each blob of ``df`` with rules due, the rules that read it now and what they found."""
-    blobs = blobs_of(df.select(F.col(text).alias("__text")), "__text").select("blob", text_of("__text").alias("__text")).dropDuplicates(["blob"])
-    every = F.array(*(F.lit(v) for v in rules.values()))
-    if ledger is None:
-        due = blobs.withColumn("rules", every)
-    else:
-        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("__seen"))
-        due = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(every, F.coalesce("__seen", F.array().cast("array<string>")))).where(F.size("rules") > 0)
-    found = F.concat(*(_rule(kind, F.col("__text"), F.array_contains("rules", version)) for kind, version in rules.items()))
-    return due.select("blob", "rules", found.cast(SPAN).alias("found"))
-
-
-def findings(df: DataFrame, ledger: DataFrame, text: str = "text", doc_id: str = "doc_id", one_row_per_blob: bool = False) -> DataFrame:
-    """One row per path (row of ``df``): its id, blob and all spans, by start and then kind as listed.
-
-    ``one_row_per_blob`` says that no blob was scanned in several steps, which spares a grouping.
-    """
-    order = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)))
-    whole = ledger.select("blob", "found") if one_row_per_blob else ledger.groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
-    ordered = F.transform(F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("at"), order[s["kind"]].alias("nr"), s.alias("span")))), lambda x: x["span"])
-    paths = blobs_of(df.select(doc_id, text), text).select(F.col(doc_id).alias("doc_id"), "blob")
-    return paths.join(whole.select("blob", ordered.alias("found")), "blob").select("doc_id", "blob", "found")
+from .common import Scratch, text_of, unused
+from .spans import find_spans, joined
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A kind of secret: its pattern, a cheaper test that every text with a match passes, and how long group 1 of a match must be."""
+
+    kind: str
+    version: int
+    pattern: str
+    gate: str
+    least: int = 0
+
+    @property
+    def name(self) -> str:
+        return f"{self.kind}@{self.version}"
+
+
+RULES = (
+    Rule("assign", 1, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)""", r"""(?i:password|passwd|secret|token|key)["']?\x20*[:=]""", 6),
+    Rule("access", 1, r"AKIA[A-Z0-9]{16,}+", "AKIA"),
+    Rule("hex", 1, r"[0-9a-f]{24,}+", r"[0-9a-f]{24}"),
+    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", "-----BEGIN "),
+    Rule("host_token", 1, r"gh[pousr]_[A-Za-z0-9]{36,}+", "gh[pousr]_"),
+)
+BASE_KINDS = ("assign", "access", "hex")
+#: A finding names the rule version that made it.
+FOUND = "array<struct<kind:string,start:int,end:int,score:int,rule:string>>"
+SCHEMA = f"blob binary, rules array<string>, found {FOUND}"
+
+
+def _blob(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+class Ledger:
+    """The ledger in a folder, which may not exist yet."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def rows(self) -> DataFrame | None:
+        """blob, rules, found: one row for each blob and scan that read it; None before the first scan."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        there = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        return self.spark.read.schema(SCHEMA).parquet(self.folder) if there else None
+
+    def unseen(self, df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """blob, __text, due: the blobs of ``df`` (null counts as empty) with the names of the rules that have not read them yet."""
+        texts = df.select(text_of(text).alias("__text"))
+        blobs = texts.select(_blob(F.col("__text")).alias("blob"), "__text").dropDuplicates(["blob"])
+        every, known = F.array(*(F.lit(r.name) for r in rules)), self.rows()
+        if known is None:
+            return blobs.withColumn("due", every)
+        seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("__seen"))  # as many as there are scans
+        due = F.array_except(every, F.coalesce("__seen", F.array().cast("array<string>")))
+        return blobs.join(seen, "blob", "left").withColumn("due", due).where(F.size("due") > 0).drop("__seen")
+
+    def scan(self, df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
+        """Read what is unseen in ``df`` and append it to the ledger."""
+        body = F.col("__text")
+
+        def spans(rule: Rule) -> Column:
+            keep = (lambda m: F.length(F.regexp_extract(m, rule.pattern, 1)) >= rule.least) if rule.least else None
+            found = find_spans(rule.kind, body, rule.pattern, F.array_contains("due", rule.name) & body.rlike(rule.gate), keep)
+            return F.transform(found, lambda s: F.struct(*(s[c].alias(c) for c in ("kind", "start", "end", "score")), F.lit(rule.name).alias("rule")))
+
+        found = F.concat(*map(spans, rules)) if rules else F.array()
+        self.unseen(df, text, rules).select("blob", F.col("due").alias("rules"), found.cast(FOUND).alias("found")).write.mode("append").parquet(self.folder)
+
+    def findings(self, df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, into: str = "found", one_scan: bool = False) -> DataFrame:
+        """``df`` with ``into``: what ``rules`` have found in each row's text, by start and then rule as listed; null if the ledger has not all of them for it.
+
+        Findings of other rule versions stay in the ledger and out of the result. ``one_scan`` says that all blobs were read in one
+        scan, which spares bringing scans together.
+        """
+        names = [r.name for r in rules]
+        place = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i))) if names else F.lit(None).cast("map<string,int>")
+        known = self.rows()
+        if known is None:
+            known = self.spark.createDataFrame([], SCHEMA)
+        if not one_scan:
+            known = known.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("rules"), F.flatten(F.collect_list("found")).alias("found"))
+        current = F.filter("found", lambda s: s["rule"].isin(*names))
+        ordered = F.transform(F.array_sort(F.transform(current, lambda s: F.struct(s["start"].alias("at"), place[s["rule"]].alias("nr"), s.alias("span")))), lambda x: x["span"])
+        whole = F.size(F.array_except(F.array(*map(F.lit, names)).cast("array<string>"), "rules")) == 0
+        blob, own = unused(df, "blob", "own")
+        told = known.where(whole).select(F.col("blob").alias(own), ordered.alias(into))
+        paths = df.withColumn(blob, _blob(text_of(text)))
+        return paths.join(told, F.col(blob) == F.col(own), "left").drop(blob, own)
 
 
 def _count(kind: str) -> Column:
-    return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    return F.size(F.filter("__found", lambda s: s["kind"] == kind)).cast("long")
 
 
-def secret_report(df: DataFrame, ledger: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def secret_report(df: DataFrame, folder: str | None = None, text: str = "text", doc_id: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per input row: doc_id, counts of the base kinds, digest of the base spans and all spans.
 
-    Null texts count as empty and have none; rows that share a text share its findings; every row is kept.
+    The ledger in ``folder`` is read and added to; without one a new ledger is begun in the shared folder. Null texts count as empty
+    and have no findings; rows that share a text share its findings; every row is kept, and an empty table gives an empty result.
     """
-    fresh = scan_unseen(df, ledger, text)
-    whole = fresh if ledger is None else ledger.select("blob", "rules", "found").unionByName(fresh)
-    found = findings(df, whole, text, doc_id, ledger is None)
-    base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
-    return found.select(
-        "doc_id",
-        *(_count(k).alias(f"n_{k}") for k in BASE_KINDS),
-        F.sha2(joined(base), 256).alias("base_sha256"),
-        joined(F.col("found")).alias("spans"),
-    )
+    ledger = Ledger(df.sparkSession, folder or f"{Scratch(df.sparkSession).folder}/ledger")
+    slim = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("__text"))
+    fresh = ledger.rows() is None
+    ledger.scan(slim, "__text", rules)
+    found = ledger.findings(slim, "__text", rules, "__found", fresh)
+    base = F.filter("__found", lambda s: s["kind"].isin(*BASE_KINDS))
+    return found.select("doc_id", *(_count(k).alias(f"n_{k}") for k in BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__found")).alias("spans"))
