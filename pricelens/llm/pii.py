@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_of, unused
 from .spans import SPAN, chars_of, digits_of, find_spans, joined
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -90,7 +91,7 @@ def find_pii(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
 
     Positions are code points, end exclusive. A null text counts as empty and has no spans. Every row is kept.
     """
-    found = pii_spans(F.coalesce(F.col(text), F.lit("")))
+    found = pii_spans(text_of(text))
     return df.withColumn(into, F.struct(*(found[k].alias(k) for k in KINDS)))
 
 
@@ -101,11 +102,13 @@ def all_spans(pii: str = "pii") -> Column:
 def redact(df: DataFrame, text: str = "text", at_least: int = 0, mark: str = "[{}]", recount: str | None = None) -> DataFrame:
     """``df`` with each span of at least that score in ``text`` replaced by its kind, and ``recount`` set to the new length.
 
-    Where spans overlap, all of them go and the kind of the first is put there. Null texts stay null.
+    Where spans overlap, all of them go and the kind of the first is put there. Null texts stay null. All columns and rows of ``df``
+    stay, whatever their names; an empty table gives an empty result.
     """
-    found = find_pii(df, text, "__pii")
-    spans = F.array_sort(F.transform(F.filter(all_spans("__pii"), lambda s: s["score"] >= at_least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    whole = F.col(text)
+    pii, chosen = unused(df, "pii", "spans")
+    found = find_pii(df, text, pii)
+    spans = F.array_sort(F.transform(F.filter(all_spans(pii), lambda s: s["score"] >= at_least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    whole = F.col(f"`{text}`")
 
     def step(done: Column, s: Column) -> Column:
         fresh = F.concat(
@@ -115,15 +118,15 @@ def redact(df: DataFrame, text: str = "text", at_least: int = 0, mark: str = "[{
         return F.struct(F.greatest(done["at"], s["end"]).alias("at"), fresh.alias("out"))
 
     masked = F.aggregate(
-        F.col("__spans"),
+        F.col(chosen),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         step,
         lambda done: F.concat(done["out"], F.substring(whole, done["at"] + 1, F.length(whole))),
     )
-    out = found.withColumn("__spans", spans).withColumn(text, F.when(F.size("__spans") > 0, masked).otherwise(whole))
+    out = found.withColumn(chosen, spans).withColumn(text, F.when(F.size(chosen) > 0, masked).otherwise(whole))
     if recount in df.columns:
-        out = out.withColumn(recount, F.length(text).cast(df.schema[recount].dataType))
-    return out.select(*df.columns)
+        out = out.withColumn(recount, F.length(F.col(f"`{text}`")).cast(df.schema[recount].dataType))
+    return out.select(*(f"`{c}`" for c in df.columns))
 
 
 def pii_report(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, unused
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -253,41 +253,61 @@ def _path(model: str) -> str:
     return public_tokenizers.path(model)
 
 
-def _encoded(model: str):
+def _encoded(model: str, text: str):
     def run(batches):
         codec = Codec.of(_path(model))
         for batch in batches:
-            ids = [codec.encode(t) for t in batch.column("text").to_pylist()]
+            ids = [codec.encode(t or "") for t in batch.column(text).to_pylist()]
             flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*(c for n, c in zip(batch.schema.names, batch.columns) if n != "text"), lists], names=[n for n in batch.schema.names if n != "text"] + ["ids"])
+            yield pa.RecordBatch.from_arrays([*_others(batch, text), lists], names=[*(n for n in batch.schema.names if n != text), "ids"])
 
     return run
 
 
-def _decoded(model: str):
+def _decoded(model: str, ids: str):
     def run(batches):
         codec = Codec.of(_path(model))
         for batch in batches:
-            texts = [None if x is None else codec.decode(np.asarray(x, "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(c for n, c in zip(batch.schema.names, batch.columns) if n != "ids"), pa.array(texts, pa.string())], names=[n for n in batch.schema.names if n != "ids"] + ["text"])
+            texts = [None if x is None else codec.decode(np.asarray(x, "<u4").tobytes()) for x in batch.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*_others(batch, ids), pa.array(texts, pa.string())], names=[*(n for n in batch.schema.names if n != ids), "text"])
 
     return run
 
 
-def _swapped(df: DataFrame, out: str, into: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != out), into])
+def _others(batch: pa.RecordBatch, out: str) -> list[pa.Array]:
+    return [c for n, c in zip(batch.schema.names, batch.columns) if n != out]
+
+
+def _swap(df: DataFrame, given: str, made: str, kind: str, function) -> DataFrame:
+    """``df`` with ``made`` for ``given``; a column of that name already there is replaced. The function sees names that nothing else has."""
+    df = df.drop(*({made} - {given}))
+    (own,) = unused(df.drop(given), "made")
+    rest = [f for f in df.schema.fields if f.name != given]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"`{own}` {kind}"])
+    return df.mapInArrow(_named(function, own), schema).withColumnRenamed(own, made)
+
+
+def _named(function, own: str):
+    def run(batches):
+        for batch in function(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=[*batch.schema.names[:-1], own])
+
+    return run
 
 
 def encode(df: DataFrame, model: str = MODEL) -> DataFrame:
-    """``df`` with ``ids array<int>`` for its ``text``. A null text counts as empty, and an empty one has no ids."""
-    return df.withColumn("text", text_of()).mapInArrow(_encoded(model), _swapped(df, "text", "ids array<int>"))
+    """``df`` with ``ids array<int>`` for its ``text``. A null text counts as empty, and an empty one has no ids.
+
+    Other columns and all rows stay; a column ``ids`` that is there already is replaced. An empty table gives an empty result.
+    """
+    return _swap(df, "text", "ids", "array<int>", _encoded(model, "text"))
 
 
 def decode(df: DataFrame, model: str = MODEL) -> DataFrame:
-    """``df`` with ``text`` for its ``ids``; null ids give null."""
-    return df.mapInArrow(_decoded(model), _swapped(df, "ids", "text string"))
+    """``df`` with ``text`` for its ``ids``; null ids give null. Other columns and all rows stay; a column ``text`` that is there already is replaced."""
+    return _swap(df, "ids", "text", "string", _decoded(model, "ids"))
 
 
 def _reported(model: str):

@@ -2,13 +2,14 @@
 
 A word enters as its own vector, if training knew it, beside the sum of vectors of its hashed character 3- and 4-grams. Texts are
 read as overlapping windows of ``WIDTH`` words, all of them; a text's score comes from its highest window, through a logistic
-curve fitted on the training texts. Training sees a bounded sample of labelled texts, and a bounded number of windows of each;
-since a label belongs to a text, each epoch teaches the window that the network finds most toxic.
+curve fitted on the training texts. Training sees a bounded sample of labelled texts, and all windows of each; since a label belongs
+to a text, each epoch teaches the window that the network finds most toxic.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,11 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learns, text_of
+from .common import learns, text_of, unused
 
-#: Labelled texts of each class the network is fitted on, and windows of each of them.
+#: Labelled texts of each class the network is fitted on.
 SAMPLE = 1200
-WINDOWS = 24
 WIDTH, STRIDE = 64, 32
 FOLDS, HELD = 5, 0
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BITS = 8, 12, 16, 13
@@ -176,45 +176,51 @@ class Net:
         return float(loss), g
 
 
-def _batch(windows: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words of some windows, windows x positions of their numbers (padding is one past the last), and window sizes."""
-    number: dict[str, int] = {}
-    rows = [[number.setdefault(w, len(number)) for w in x] for x in windows]
-    ids = np.full((len(rows), max(map(len, rows))), len(number), np.int64)
-    for i, row in enumerate(rows):
-        ids[i, : len(row)] = row
-    return list(number), ids, np.array([len(x) for x in rows])
+def _batch(windows: list[np.ndarray], names: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of some windows, which hold numbers of ``names``: distinct words, windows x positions of their numbers among these (padding is one past the last), and sizes."""
+    sizes = np.array([len(x) for x in windows])
+    distinct, number = np.unique(np.concatenate(windows), return_inverse=True)
+    ids = np.full((len(windows), sizes.max()), len(distinct), np.int64)
+    ids[np.arange(ids.shape[1]) < sizes[:, None]] = number
+    return [names[i] for i in distinct], ids, sizes
 
 
-def window_logits(net: Net, windows: list[list[str]]) -> np.ndarray:
+def window_logits(net: Net, windows: list[np.ndarray], names: list[str]) -> np.ndarray:
     out = []
     for i in range(0, len(windows), 256):
-        words, ids, sizes = _batch(windows[i : i + 256])
+        words, ids, sizes = _batch(windows[i : i + 256], names)
         gates = net.gate_inputs(np.concatenate((net.inputs(words)[0], np.zeros((1, WORD_DIM + CHAR_DIM), np.float32))))
         out.append(net.run(gates, ids, sizes))
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit(texts: list[tuple[int, list[list[str]]]], toxic_share: float | None = None, epochs: int = 9, rate: float = 0.01, seed: int = 5) -> Net:
-    """Train on (label, windows of words) of each text: Adam on the window that scores highest, and others of clean texts.
+def fit(given: Iterable[tuple[int, str]], toxic_share: float | None = None, epochs: int = 9, rate: float = 0.01, seed: int = 5) -> Net:
+    """Train on (label, text): Adam on the window of a text that scores highest, and others of clean texts.
 
-    Every fourth text is left out and fits the final curve, weighted so that ``toxic_share`` of them would be toxic.
+    Every fourth text is left out and fits the final curve, by its highest window of all as in scoring, weighted so that
+    ``toxic_share`` of them would be toxic.
     """
     rng = np.random.default_rng(seed)
-    texts = [(label, [w for w in windows if w]) for label, windows in texts]
-    empty = [label for label, windows in texts if not windows]
-    texts = [x for x in texts if x[1]]
+    number: dict[str, int] = {}
+    texts: list[tuple[int, list[np.ndarray]]] = []
+    empty = []
+    for label, text in given:
+        words = np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int32)
+        if len(words):
+            texts.append((label, [words[a:b] for a, b in windows_of(len(words))]))
+        else:
+            empty.append(label)
+    names = list(number)
     share = np.mean([label for label, _ in texts]) if texts else 0.0
     late = [x for i, x in enumerate(texts) if i % 4 == 3]
     if len({label for label, _ in late}) < 2:
         late = texts
     else:
         texts = [x for i, x in enumerate(texts) if i % 4 != 3]
-    held: dict[str, int] = {}
+    held = np.zeros(len(names), np.int64)
     for _, windows in texts:
-        for w in {w for window in windows for w in window}:
-            held[w] = held.get(w, 0) + 1
-    net = Net.fresh({w: i + 1 for i, w in enumerate(sorted(w for w, n in held.items() if n >= 3))})
+        held[np.unique(np.concatenate(windows))] += 1
+    net = Net.fresh({w: i + 1 for i, w in enumerate(sorted(w for w, n in zip(names, held) if n >= 3))})
     prior = (sum(empty) + share) / (len(empty) + 1)
     net.empty = float(np.log((prior + 1e-3) / (1 - prior + 1e-3)))
     if not 0 < share < 1:
@@ -229,14 +235,14 @@ def fit(texts: list[tuple[int, list[list[str]]]], toxic_share: float | None = No
         if epoch < 1:
             chosen = rng.permutation(len(flat))[: 3 * len(texts)]
         else:
-            logits = window_logits(net, [w for _, w in flat])
+            logits = window_logits(net, [w for _, w in flat], names)
             order = np.lexsort((-logits, owner))
             first = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
             others = rng.permutation(len(flat))
             chosen = rng.permutation(np.concatenate((first, others[labels[owner[others]] == 0][: len(texts) // 2])))
         for at in range(0, len(chosen), 64):
             part = chosen[at : at + 64]
-            words, ids, sizes = _batch([flat[i][1] for i in part])
+            words, ids, sizes = _batch([flat[i][1] for i in part], names)
             y = labels[owner[part]]
             weights = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
             _, grads = net.gradients(words, ids, sizes, y, weights, (rng.random(len(words)) > 0.3).astype(np.int64))
@@ -249,7 +255,7 @@ def fit(texts: list[tuple[int, list[list[str]]]], toxic_share: float | None = No
                 m += 0.1 * (x - m)
                 v += 0.001 * (x * x - v)
                 net.p[k] -= (pace * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
-    best = np.array([window_logits(net, windows).max() for _, windows in late]).clip(-20, 20)
+    best = np.array([window_logits(net, windows, names).max() for _, windows in late]).clip(-20, 20)
     truth = np.array([label for label, _ in late], np.float64)
     share = toxic_share or truth.mean()
     weight = np.where(truth > 0, share / truth.mean(), (1 - share) / (1 - truth.mean()))
@@ -323,19 +329,6 @@ class Scorer:
         return np.where(some, sigmoid(self.net.slope * np.clip(np.where(some, best, 0), -20, 20) + self.net.shift), sigmoid(self.net.empty))
 
 
-def _sampled_windows(batches):
-    for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            words = words_of(text)
-            spans = windows_of(len(words))
-            if len(spans) > WINDOWS:
-                rng = np.random.default_rng(len(words))
-                spans = [spans[i] for i in sorted(rng.choice(len(spans), WINDOWS, replace=False))]
-            out.append([words[a:b] for a, b in spans])
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.list_(pa.list_(pa.string())))], names=["toxic", "windows"])
-
-
 def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
     """Fit on at most ``sample`` texts of each class, those of the lowest hash, among the labelled rows outside the held-out fold."""
     marked = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("__id").isNotNull())
@@ -350,26 +343,25 @@ def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
     rows = df.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     counts = {r["toxic"]: r["n"] for r in marked.where(F.coalesce(learns("__id", FOLDS, HELD), F.lit(False))).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
-    found = rows.select("doc_id", "toxic", "text").orderBy("doc_id", "toxic").select("toxic", "text").mapInArrow(_sampled_windows, "toxic int, windows array<array<string>>")
-    return fit([(r["toxic"], r["windows"]) for r in found.toLocalIterator()], share)
+    return fit(((r["toxic"], r["text"]) for r in rows.orderBy("doc_id", "toxic").select("toxic", "text").toLocalIterator()), share)
 
 
-def _scored(model, columns: list[str]):
+def _scored(model, columns: list[str], text: str, names: list[str]):
     def run(batches):
         scorer = Scorer(model.value)
         for batch in batches:
-            score = scorer.scores([text or "" for text in batch.column("text").to_pylist()])
+            score = scorer.scores([t or "" for t in batch.column(text).to_pylist()])
             kept = [batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=[*columns, "__score", "__predicted"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=[*columns, *names])
 
     return run
 
 
-def score_texts(df: DataFrame, net: Net, columns: list[str]) -> DataFrame:
-    """Those columns of ``df``, whose ``text`` is scored, with ``__score`` and ``__predicted``."""
+def score_texts(df: DataFrame, net: Net, columns: list[str], score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """Those columns of ``df``, whose ``text`` is scored, with its score and prediction under names that are not among the columns."""
     fitted = df.sparkSession.sparkContext.broadcast(net)  # its vocabulary is that of the training sample
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), "`__score` double", "`__predicted` int"])
-    return df.mapInArrow(_scored(fitted, columns), schema)
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), f"`{score}` double", f"`{predicted}` int"])
+    return df.mapInArrow(_scored(fitted, columns, "text", [score, predicted]), schema)
 
 
 def rate(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -380,11 +372,11 @@ def rate(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     net = train(df, labels, sample)
     held = ~F.coalesce(learns("doc_id", FOLDS, HELD), F.lit(True))
-    scored = score_texts(df.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), net, ["doc_id", "held_out"])
-    return scored.select("doc_id", "held_out", F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+    return score_texts(df.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), net, ["doc_id", "held_out"])
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``df`` whose score is under the threshold, with the columns of ``df``."""
+    """The rows of ``df`` whose score is under the threshold, with its own columns whatever their names; an empty table gives an empty result."""
     net = train(df, labels, sample)
-    return score_texts(df, net, df.columns).where(F.col("__score") < threshold).select(*df.columns)
+    score, predicted = unused(df, "score", "predicted")
+    return score_texts(df, net, df.columns, score, predicted).where(F.col(score) < threshold).select(*(f"`{c}`" for c in df.columns))
