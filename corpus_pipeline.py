@@ -5,13 +5,10 @@ Each stage reads what the one before it wrote. All but the last return the colum
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from pricelens.llm import exact_dedup, order_minhash, packing, pii, toxicity
-from pricelens.llm.common import read
+from pricelens.llm.common import Scratch, read
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +43,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``: each is written to the session's checkpoint folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{base}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over ``documents``: each is written to the session's shared folder and read again, and goes once the next is written.
+
+    An empty table gives an empty result; without labels no document is toxic. A null text counts as empty, so of those one stays.
+    """
+    scratch, docs, before = Scratch(spark), read(spark, sf_dir, "documents"), []
+    for _, stage in STAGES:
+        docs = scratch.put(stage(spark, docs, sf_dir))
+        scratch.drop(*before)
+        before = [docs]
     return docs
