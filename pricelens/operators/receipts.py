@@ -7,10 +7,12 @@ are already used.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import collapsed, stripped
+from ..functions.scalars import collapsed, once, stripped
 from ..schemas import RECEIPT
 
 #: Patterns and words that receipts are read by.
@@ -48,17 +50,8 @@ ITEM = "struct<nom_produit:string,prix_unitaire_ou_kg:double,unites:int>"
 TICKET = f"struct<date:string,chaine_supermarche:string,adresse:string,produits:array<{ITEM}>>"
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)``, with ``value`` worked out once however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _any_of(line: Column, words: list[str]) -> Column:
-    low = F.lower(line)
-    hit = low.contains(words[0])
-    for w in words[1:]:
-        hit = hit | low.contains(w)
-    return hit
+    return once(F.lower(line), lambda low: reduce(Column.__or__, (low.contains(w) for w in words)))
 
 
 def _number(line: Column, pattern: str, group: int) -> Column:
@@ -89,9 +82,9 @@ def _composed(text: Column, pattern: str, order: str) -> Column:
     return F.when(text.rlike(pattern) & F.try_to_timestamp(made, F.lit("yyyyMMdd HH:mm")).isNotNull(), made)
 
 
-def receipt_date(lines: Column) -> Column:
-    """``yyyyMMdd HH:mm`` of the first line with a date, else of the last lone date and last lone time; empty if there is none."""
-    dated = F.transform(lines, lambda x: F.coalesce(*(_composed(x, p, order) for p, order in DATE_TIMES)))
+def receipt_date(lines: Column, dated: Column) -> Column:
+    """``yyyyMMdd HH:mm`` of the first of the ``dated`` lines that names a day there is, else of the last lone date and last lone time; empty if there is none."""
+    dated = F.transform(dated, lambda x: F.coalesce(*(_composed(x, p, order) for p, order in DATE_TIMES)))
     lone = lambda p: F.try_element_at(F.filter(lines, lambda x: x.rlike(p)), F.lit(-1))
     both = F.concat_ws(" ", lone(LONE_DATE), lone(LONE_TIME))
     return F.coalesce(F.try_element_at(F.filter(dated, lambda d: d.isNotNull()), F.lit(1)), *(_composed(both, f"^{p}$", order) for p, order in DATE_TIMES[:2]), F.lit(""))
@@ -128,11 +121,24 @@ def receipt_header(lines: Column) -> Column:
     return F.aggregate(first, start, step, lambda s: F.struct(s["chain"].alias("chain"), F.array_join(s["address"], ", ").alias("address"), s["used"].alias("used")))
 
 
-def receipt_items(lines: Column, header: Column) -> Column:
-    """The items of a receipt's lines, those numbered in ``header`` left out."""
+def _marked(line: Column) -> Column:
+    """What a line is, worked out once: numbers are null where it is no line of that kind."""
+    is_product = line.rlike(PRODUCT)
+    name = F.when(is_product, F.regexp_replace(F.regexp_extract(line, PRODUCT, 1), r"^[ .\-:]+|[ .\-:]+$", ""))
+    found = lambda pattern, group: F.when(line.rlike(pattern), _number(line, pattern, group))
+    return F.struct(
+        line.alias("line"), line.rlike(SECTION).alias("section"), _has_date(line).alias("dated"), _any_of(line, IGNORED).alias("ignored"), plausible(line).alias("plausible"),
+        found(WEIGHT, 2).alias("weight"), line.rlike(KG_ONLY).alias("kg_only"), found(PER_KG, 1).alias("per_kg"), found(LONE_PRICE, 1).alias("price"), found(LONE_QUANTITY, 1).cast("int").alias("count"),
+        found(QUANTITY, 1).cast("int").alias("times"), found(QUANTITY, 2).alias("each"), F.when(is_product, _number(line, PRODUCT, 2)).alias("product"),
+        once(name, lambda n: F.struct(n.alias("text"), plausible(n).alias("plausible"))).alias("name"),
+    )
+
+
+def receipt_items(marked: Column, header: Column) -> Column:
+    """The items of a receipt's marked lines, those numbered in ``header`` left out."""
     ahead = F.transform(
-        lines,
-        lambda x, i: F.struct(x.alias("line"), F.try_element_at(lines, i + 2).alias("next"), F.try_element_at(lines, i + 3).alias("after"), F.array_contains(header, i).alias("header")),
+        marked,
+        lambda x, i: F.struct(x.alias("this"), F.try_element_at(marked, i + 2).alias("next"), F.try_element_at(marked, i + 3).alias("after"), F.array_contains(header, i).alias("header")),
     )
     start = F.struct(F.lit(None).cast("string").alias("pending"), F.array().cast(f"array<{ITEM}>").alias("items"), F.lit(0).alias("skip"), F.lit(False).alias("done"), F.lit(False).alias("begun"))
     none = F.lit(None).cast("string")
@@ -143,46 +149,36 @@ def receipt_items(lines: Column, header: Column) -> Column:
             (s["done"] if done is None else done).alias("done"), (s["begun"] if begun is None else begun).alias("begun"),
         )
 
-    def item(name: Column, price: Column, units: Column) -> Column:
-        return F.struct(name.alias("nom_produit"), F.bround(price, 2).alias("prix_unitaire_ou_kg"), units.cast("int").alias("unites"))
-
-    def sold(s: Column, name: Column, price: Column, units: Column = F.lit(1), skip: Column | int = 0) -> Column:
-        ok = plausible(name)
-        return state(s, none, F.when(ok, F.concat(s["items"], F.array(item(name, price, units)))).otherwise(s["items"]), skip, None, s["begun"] | ok)
+    def sold(s: Column, name: Column, price: Column, units: Column = F.lit(1), skip: Column | int = 0, ok: Column = F.lit(True)) -> Column:
+        item = F.struct(name.alias("nom_produit"), F.bround(price, 2).alias("prix_unitaire_ou_kg"), units.cast("int").alias("unites"))
+        return state(s, none, F.when(ok, F.concat(s["items"], F.array(item))).otherwise(s["items"]), skip, None, s["begun"] | ok)
 
     def step(s: Column, x: Column) -> Column:
-        line, nxt, after = x["line"], F.coalesce(x["next"], F.lit("")), F.coalesce(x["after"], F.lit(""))
-        waits = s["pending"].isNotNull()
-        price, total = _number(line, LONE_PRICE, 1), _number(nxt, LONE_PRICE, 1)
+        this, nxt, after = x["this"], x["next"], x["after"]
+        waits, price, total = s["pending"].isNotNull(), this["price"], nxt["price"]  # a line waits only if it is plausible
         by_total = F.when(price > 0, F.greatest(F.lit(1), F.bround(total / price, 0).cast("int"))).otherwise(1)
-        is_total, has_after = nxt.rlike(LONE_PRICE), x["after"].isNotNull()
-        count = lambda c: _number(c, LONE_QUANTITY, 1).cast("int")
-        units = (
-            F.when(is_total & has_after, F.when(after.rlike(LONE_QUANTITY), count(after)).otherwise(by_total))
-            .when(nxt.rlike(LONE_QUANTITY), count(nxt))
-            .when(is_total & (price > 0), by_total)
-            .otherwise(1)
-        )
-        used = F.when(is_total & has_after, 2).when(nxt.rlike(LONE_QUANTITY) | (is_total & (price > 0)), 1).otherwise(0)
+        is_total, counted = total.isNotNull(), nxt["count"].isNotNull()
+        units = F.when(is_total & after.isNotNull(), F.coalesce(after["count"], by_total)).when(counted, nxt["count"]).when(is_total & (price > 0), by_total).otherwise(1)
+        used = F.when(is_total & after.isNotNull(), 2).when(counted | (is_total & (price > 0)), 1).otherwise(0)
         last = F.try_element_at(s["items"], F.lit(-1))
-        recounted = F.concat(F.slice(s["items"], F.lit(1), F.greatest(F.size(s["items"]) - 1, F.lit(0))), F.array(F.struct(last["nom_produit"].alias("nom_produit"), last["prix_unitaire_ou_kg"].alias("prix_unitaire_ou_kg"), count(line).alias("unites"))))
-        name = F.regexp_replace(F.regexp_extract(line, PRODUCT, 1), r"^[ .\-:]+|[ .\-:]+$", "")
-        by_weight = nxt.rlike(WEIGHT)
-        product_price = F.when(nxt.rlike(QUANTITY), _number(nxt, QUANTITY, 2)).when(by_weight, _number(nxt, WEIGHT, 2)).otherwise(_number(line, PRODUCT, 2))
-        product_units = F.when(nxt.rlike(QUANTITY), _number(nxt, QUANTITY, 1).cast("int")).otherwise(1)
+        recounted = F.concat(
+            F.slice(s["items"], F.lit(1), F.greatest(F.size(s["items"]) - 1, F.lit(0))),
+            F.array(F.struct(last["nom_produit"].alias("nom_produit"), last["prix_unitaire_ou_kg"].alias("prix_unitaire_ou_kg"), this["count"].alias("unites"))),
+        )
+        ahead_used = F.when(nxt["each"].isNotNull() | nxt["weight"].isNotNull(), 1).otherwise(0)
         return (
             F.when(s["done"], state(s))
             .when(s["skip"] > 0, state(s, skip=s["skip"] - 1))
             .when(x["header"], state(s))
-            .when(line.rlike(SECTION), state(s, none))
-            .when(_has_date(line) & ~line.rlike(PRODUCT), state(s))
-            .when(_any_of(line, IGNORED), F.when(s["begun"] & _any_of(line, FOOTER), state(s, done=F.lit(True))).otherwise(state(s, none)))
-            .when(line.rlike(WEIGHT) & waits, sold(s, s["pending"], _number(line, WEIGHT, 2)))
-            .when(waits & line.rlike(KG_ONLY) & nxt.rlike(PER_KG), sold(s, s["pending"], _number(nxt, PER_KG, 1), skip=1))
-            .when(line.rlike(LONE_QUANTITY) & (F.size(s["items"]) > 0), state(s, none, recounted))
-            .when(line.rlike(LONE_PRICE) & waits, sold(s, s["pending"], price, units, used))
-            .when(line.rlike(PRODUCT) & ~line.rlike(QUANTITY), sold(s, name, product_price, product_units, F.when(nxt.rlike(QUANTITY) | by_weight, 1).otherwise(0)))
-            .otherwise(state(s, F.when(plausible(line) & ~line.rlike(LONE_PRICE), line)))
+            .when(this["section"], state(s, none))
+            .when(this["dated"] & this["product"].isNull(), state(s))
+            .when(this["ignored"], F.when(s["begun"] & _any_of(this["line"], FOOTER), state(s, done=F.lit(True))).otherwise(state(s, none)))
+            .when(this["weight"].isNotNull() & waits, sold(s, s["pending"], this["weight"]))
+            .when(waits & this["kg_only"] & nxt["per_kg"].isNotNull(), sold(s, s["pending"], nxt["per_kg"], skip=1))
+            .when(this["count"].isNotNull() & (F.size(s["items"]) > 0), state(s, none, recounted))
+            .when(price.isNotNull() & waits, sold(s, s["pending"], price, units, used))
+            .when(this["product"].isNotNull() & this["each"].isNull(), sold(s, this["name"]["text"], F.coalesce(nxt["each"], nxt["weight"], this["product"]), F.coalesce(nxt["times"], F.lit(1)), ahead_used, this["name"]["plausible"]))
+            .otherwise(state(s, F.when(this["plausible"] & price.isNull(), this["line"])))
         )
 
     return F.aggregate(ahead, start, step, lambda s: s["items"])
@@ -190,14 +186,13 @@ def receipt_items(lines: Column, header: Column) -> Column:
 
 def text_ticket(text: Column) -> Column:
     """The ticket that a transcribed receipt shows."""
-    lines = clean_lines(text)
-    return _let(
-        lines,
-        lambda x: _let(
-            receipt_header(x),
-            lambda header: F.struct(receipt_date(x).alias("date"), header["chain"].alias("chaine_supermarche"), header["address"].alias("adresse"), receipt_items(x, header["used"]).alias("produits")),
-        ),
-    )
+
+    def read(lines: Column, marked: Column, header: Column) -> Column:
+        dated = F.transform(F.filter(marked, lambda m: m["dated"]), lambda m: m["line"])
+        items = receipt_items(marked, header["used"])
+        return F.struct(receipt_date(lines, dated).alias("date"), header["chain"].alias("chaine_supermarche"), header["address"].alias("adresse"), items.alias("produits"))
+
+    return once(clean_lines(text), lambda lines: once(F.transform(lines, _marked), lambda marked: once(receipt_header(lines), lambda header: read(lines, marked, header))))
 
 
 def unfenced(text: Column) -> Column:
@@ -218,7 +213,7 @@ def json_candidates(text: Column) -> Column:
 def _parsed(text: Column) -> Column:
     """The ticket of a JSON text, with or without its wrapper; null if it isn't one. Values are still texts."""
     bare = F.from_json(text, RECEIPT["ticket"].dataType)
-    return F.coalesce(F.from_json(text, RECEIPT)["ticket"], _let(bare, lambda bare: F.when(bare["date"].isNotNull() | bare["chaine_supermarche"].isNotNull() | bare["produits"].isNotNull(), bare)))
+    return F.coalesce(F.from_json(text, RECEIPT)["ticket"], once(bare, lambda bare: F.when(bare["date"].isNotNull() | bare["chaine_supermarche"].isNotNull() | bare["produits"].isNotNull(), bare)))
 
 
 def _blank(c: Column) -> Column:
@@ -229,7 +224,7 @@ def best_json(text: Column) -> Column:
     """Of the candidates in a text the ticket with the most fields and named items; the earliest of equals."""
     scored = F.transform(
         json_candidates(text),
-        lambda c: _let(
+        lambda c: once(
             _parsed(c),
             lambda t: F.struct(
                 (
@@ -257,7 +252,7 @@ def json_date(text: Column) -> Column:
 
 def normal_ticket(raw: Column) -> Column:
     """struct(ticket, reason): a JSON ticket with typed values, or what is wrong with it."""
-    return _let(raw, lambda r: _let(json_date(_blank(r["date"])), lambda day: _normal_ticket(r, day)))
+    return once(raw, lambda r: once(json_date(_blank(r["date"])), lambda day: _normal_ticket(r, day)))
 
 
 def _normal_ticket(raw: Column, day: Column) -> Column:
@@ -296,7 +291,7 @@ def output_error(text: Column, mode: str) -> Column:
     if mode not in ("json", "multipass"):
         return empty
     said = lambda ticket: F.when(ticket.isNull(), "invalid or missing ticket JSON").when((ticket["chaine_supermarche"] == "") & (F.size(ticket["produits"]) == 0), "empty ticket")
-    return empty.otherwise(_let(normal_ticket(best_json(text))["ticket"], said))
+    return empty.otherwise(once(normal_ticket(best_json(text))["ticket"], said))
 
 
 def merge_partial(parts: DataFrame, key: str = "ticket_id", order: str = "pass_nr", text: str = "text") -> DataFrame:
@@ -310,10 +305,9 @@ def merge_partial(parts: DataFrame, key: str = "ticket_id", order: str = "pass_n
 def read_receipts(df: DataFrame, key: str = "ticket_id", text: str = "text") -> DataFrame:
     """key, ticket, reason: the JSON ticket of a text where there is a valid one, else the transcribed one; a blank text has a reason."""
     blank = stripped(F.col(text)).isNull()
-    given = normal_ticket(best_json(F.col(text)))["ticket"]
-    both = df.select(key, text, F.when(~blank & F.col(text).contains("{"), given).alias("__json"), blank.alias("__blank"))
-    ticket = F.coalesce(F.col("__json").cast(TICKET), F.when(~F.col("__blank"), text_ticket(F.col(text))).cast(TICKET))
-    return both.select(key, ticket.alias("ticket"), F.when(F.col("__blank"), F.lit("empty text")).alias("reason"))
+    given = normal_ticket(best_json(F.col(text)))["ticket"].cast(TICKET)
+    ticket = F.coalesce(F.when(F.col(text).contains("{"), given), text_ticket(F.col(text)).cast(TICKET))
+    return df.select(key, F.when(~blank, ticket).alias("ticket"), F.when(blank, F.lit("empty text")).alias("reason"))
 
 
 def ticket_rows(read: DataFrame, key: str = "ticket_id") -> DataFrame:
@@ -329,7 +323,8 @@ def ticket_rows(read: DataFrame, key: str = "ticket_id") -> DataFrame:
 
 def line_rows(read: DataFrame, key: str = "ticket_id") -> DataFrame:
     """The items as rows; line_index is their place in the ticket, so items without a name leave gaps."""
-    rows = read.select(key, F.posexplode("ticket.produits").alias("line_index", "p")).where("trim(p.nom_produit) <> ''")
+    # The outer form, as the plain one has the optimiser ask beforehand whether there are items, which parses every text twice.
+    rows = read.select(key, F.posexplode_outer("ticket.produits").alias("line_index", "p")).where("trim(p.nom_produit) <> ''")
     price, units = F.coalesce(F.col("p.prix_unitaire_ou_kg"), F.lit(0.0)).cast("decimal(10,2)"), F.coalesce(F.nullif(F.col("p.unites"), F.lit(0)), F.lit(1)).cast("decimal(10,3)")
     return rows.select(
         key, "line_index", F.trim("p.nom_produit").alias("raw_text"), units.alias("quantity"), price.alias("unit_price"), F.round(price * units, 2).cast("decimal(10,2)").alias("line_total"),
