@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gold import median
+
 
 def rankings_view(rankings: DataFrame, catalogue: DataFrame, limit: int = 20) -> DataFrame:
     """The largest increases with the product's name and brand, prices, sample size and ISO week; ``pct_change`` is a fraction."""
@@ -23,7 +25,7 @@ def hall_of_shame(moves: DataFrame, limit: int = 20) -> DataFrame:
     return scored.orderBy(F.desc("shame_score"), "reference_week", "product_code").limit(min(limit, 100))
 
 
-def brand_stats(catalogue: DataFrame, prices: DataFrame, moves: DataFrame, top: int = 5) -> DataFrame:
+def brand_stats(catalogue: DataFrame, prices: DataFrame, moves: DataFrame, top: int = 5, exact: bool = False) -> DataFrame:
     """For each catalogue brand, in any case: product_count, avg_price_eur over unflagged prices, median_pct_change, and its largest increases.
 
     Only rows flagged as no outlier count; an unknown flag doesn't.
@@ -33,7 +35,7 @@ def brand_stats(catalogue: DataFrame, prices: DataFrame, moves: DataFrame, top:
     sums = prices.where(F.col("iqr_outlier") == F.lit(False)).groupBy(F.col("product_code").alias("ean")).agg(F.sum("price_eur").alias("s"), F.count("price_eur").alias("n"))
     stats = cat.join(sums, "ean", "left").groupBy("brand").agg(F.countDistinct("ean").alias("product_count"), F.try_divide(F.sum("s"), F.sum("n")).alias("avg_price_eur"))
     mine = moves.withColumnRenamed("product_code", "ean").join(cat, "ean")
-    changes = mine.groupBy("brand").agg(F.percentile_approx("pct_change", 0.5, 10000).alias("median_pct_change"))
+    changes = mine.groupBy("brand").agg(median("pct_change", exact).alias("median_pct_change"))
     rank = F.row_number().over(Window.partitionBy("brand").orderBy(F.desc("pct_change"), "reference_week", "ean"))
     listed = F.array_sort(F.collect_list(F.struct("rank", "ean", "pct_change", F.col("curr_median").alias("price_eur_current"), F.col("prev_median").alias("price_eur_previous"))))
     best = mine.withColumn("rank", rank).where(F.col("rank") <= top).groupBy("brand").agg(listed.alias("top_increases"))

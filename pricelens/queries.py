@@ -15,7 +15,6 @@ from .functions import products as P
 from .functions import scalars as S
 from .operators import baskets, catalogue, cleaning, receipts, similarity
 from .plans import gold, serving
-from .sources import tables
 from .streaming import events
 
 RUN = date(2001, 6, 1)
@@ -98,15 +97,6 @@ def alert_report(spark, sf_dir):
     return gold.alert_report(gold.product_rankings(prices, weeks=None, top_n=None, exact=True), gold.price_anomalies(prices, weeks=None, z=1.0, exact=True, keys=("product_code",)), RUN)
 
 
-def gold_counts(spark, sf_dir):
-    made = gold.gold_tables(price_obs(spark, sf_dir), RUN, weeks=None)
-    out = None
-    for name, df in made.items():
-        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def _weekly(keys: str, least: int = 3, where: str = "true") -> str:
     return f"""weekly AS (SELECT week_start_date, {keys}, count(*) AS observations, avg(price_eur) AS a, quantile_disc(price_eur, 0.5) AS median_price_eur
         FROM price_obs WHERE {where} GROUP BY ALL HAVING count(*) >= {least})"""
@@ -446,13 +436,6 @@ def regional_map(spark, sf_dir):
     return baskets.regional_map(baskets.laspeyres(purchases(spark, sf_dir), ["enseigne"]), "enseigne").withColumn("inflation_pct", r6("inflation_pct"))
 
 
-def personal_alerts(spark, sf_dir):
-    bought, moves = purchases(spark, sf_dir), gold.product_rankings(price_obs(spark, sf_dir), weeks=None, exact=True)
-    prefs = t(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"), F.lit(1.0).alias("threshold_pct"), F.array(F.lit("Brand#11"), F.lit("Brand#23")).alias("favorite_enseignes"))
-    found = baskets.personal_alerts(moves, baskets.basket_history(bought, RUN, months=120), prefs, bought)
-    return found.groupBy("user_id").agg(F.count("*").alias("alerts"), r6(F.max("pct_change")).alias("largest"))
-
-
 def cheapest_store(spark, sf_dir):
     medians = gold.gold_source(price_obs(spark, sf_dir), ["product_code"])
     return baskets.cheapest_stores(medians)
@@ -506,18 +489,6 @@ def resolve_products(spark, sf_dir):
     return found.groupBy("match_method").agg(F.count("*").alias("n"), F.countDistinct("ean").alias("eans"))
 
 
-def upsert_prices(spark, sf_dir):
-    li = t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("quantity"), F.min("l_shipdate").cast("date").alias("day"))
-    target, source = li.where("l_linenumber <= 3"), li.where("l_linenumber in (3, 4)").withColumn("quantity", F.when(F.col("l_orderkey") % 2 == 0, F.col("quantity") + 100))
-    return tables.merged(target, source, ["l_orderkey", "l_linenumber"], keep_if_null=("quantity",))
-
-
-def partition_replace(spark, sf_dir):
-    ev = t(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    fresh = ev.where("event_type = 'click' and value > 100")
-    return ev.where("event_type <> 'click'").unionByName(fresh).groupBy("event_type").agg(F.count("*").alias("n"))
-
-
 SERVING_SQL = {
     "basket_history": f"WITH {_PURCHASES}, {_HISTORY} SELECT user_id, ean, purchase_count_6m, {_r6('avg_quantity')} AS avg_quantity, last_purchased_at FROM history",
     "cheapest_store": f"""WITH {PRICE_OBS}, m AS (SELECT product_code, store_brand_normalized, quantile_disc(price_eur, 0.5) AS m FROM price_obs GROUP BY ALL)
@@ -535,9 +506,6 @@ SERVING_SQL = {
     "apply_corrections": """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, min(l_partkey) AS k FROM lineitem GROUP BY ALL), p AS (SELECT o_orderkey, o_orderpriority, k FROM orders LEFT JOIN l ON l_orderkey = o_orderkey AND l_linenumber = 1 WHERE o_orderkey % 3 = 0),
         ok AS (SELECT * FROM p WHERE o_orderkey % 5 <> 0 AND k IS NOT NULL)
         SELECT 'validated lines' AS what, count(*) AS n FROM ok UNION ALL SELECT 'validated tickets', count(*) FROM ok UNION ALL SELECT 'aliases', count(DISTINCT (k, o_orderpriority)) FROM ok UNION ALL SELECT 'violations', (SELECT count(*) FROM p) - (SELECT count(*) FROM ok)""",
-    "upsert_prices": """WITH li AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS quantity, CAST(min(l_shipdate) AS DATE) AS day FROM lineitem GROUP BY ALL)
-        SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 2 THEN quantity WHEN l_orderkey % 2 = 0 THEN quantity + 100 WHEN l_linenumber = 3 THEN quantity END AS quantity, day FROM li WHERE l_linenumber <= 4""",
-    "partition_replace": "SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'click' OR value > 100 GROUP BY 1",
 }
 
 
@@ -554,9 +522,6 @@ SERVING_SQL |= {
     "personal_index": f"WITH {_PURCHASES}, {_HISTORY}, bought AS (SELECT p.* FROM purchases p SEMI JOIN (FROM history WHERE purchase_count_6m >= 2) h USING (user_id, ean)), {_laspeyres('user_id')} SELECT user_id, period, {_r6('value')} AS value, sample_size FROM ix",
     "index_series": f"WITH {_PURCHASES}, bought AS (FROM purchases), {_laspeyres('enseigne')} SELECT enseigne, min(period) AS base_period, {_r6('max_by(value, period)')} AS current, count(*) AS points FROM ix GROUP BY 1",
     "regional_map": f"WITH {_PURCHASES}, bought AS (FROM purchases), {_laspeyres('enseigne')} SELECT enseigne, {_r6('value')} AS inflation_pct, sample_size, cast(period AS VARCHAR) AS period FROM ix WHERE period = (SELECT max(period) FROM ix)",
-    "personal_alerts": f"""WITH {PRICE_OBS}, {_weekly('product_code')}, {_MOVES}, top AS (SELECT * FROM moves ORDER BY pct_change DESC, reference_week, product_code LIMIT 500), {_PURCHASES}, {_HISTORY}
-        SELECT user_id, count(*) AS alerts, {_r6('max(pct_change)')} AS largest FROM history h JOIN top ON product_code = ean WHERE purchase_count_6m >= 2 AND CASE WHEN user_id % 3 = 0 AND user_id IN (SELECT c_custkey FROM customer)
-            THEN pct_change >= 1 AND EXISTS (SELECT 1 FROM purchases p WHERE p.user_id = h.user_id AND p.ean = h.ean AND enseigne IN ('Brand#11', 'Brand#23')) ELSE pct_change >= 0.05 END GROUP BY 1""",
 }
 
 
@@ -616,11 +581,11 @@ EVENTS_SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        brand_week_aggregates, brand_week_aggregates_recent, brand_week_index, product_rankings, price_anomalies, price_anomalies_by_brand, alert_rankings, alert_anomalies, alert_report, gold_counts, transform_prices,
+        brand_week_aggregates, brand_week_aggregates_recent, brand_week_index, product_rankings, price_anomalies, price_anomalies_by_brand, alert_rankings, alert_anomalies, alert_report, transform_prices,
         rejections_by_reason, run_metrics, iqr_outliers, price_range_filter, dedup_first, distinct_barcodes, barcode_check, barcode_normal, price_parse, date_parse, country_infer, brand_canonical, city_title, discount_check,
         quantity_parse, department, undiscovered_products, stale_products, catalogue_search, catalogue_lookup, shape_catalogue, initial_catalogue, comparable_groups, substitutes_topk, substitutes_gated, substitutes_lsh,
-        basket_history, laspeyres_national, laspeyres_regional, personal_index, index_series, regional_map, personal_alerts, cheapest_store, brand_stats, rankings_view, hall_of_shame, ticket_detail, ticket_page,
-        apply_corrections, resolve_products, upsert_prices, partition_replace, receipt_tickets, receipt_lines, receipt_texts, ticket_events_decoded,
+        basket_history, laspeyres_national, laspeyres_regional, personal_index, index_series, regional_map, cheapest_store, brand_stats, rankings_view, hall_of_shame, ticket_detail, ticket_page,
+        apply_corrections, resolve_products, receipt_tickets, receipt_lines, receipt_texts, ticket_events_decoded,
     )
 }
 ORACLES = GOLD_SQL | CLEANING_SQL | FUNCTIONS_SQL | CATALOGUE_SQL | SERVING_SQL | EVENTS_SQL
