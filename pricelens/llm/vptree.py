@@ -24,6 +24,10 @@ SHARD, LEAF, BLOCK = 4096, 128, 512
 FACTOR = 0.25
 
 
+#: Components above this are divided by the largest before they are squared.
+LARGE = 1e140
+
+
 @dataclass
 class Node:
     at: int  # of the vantage point, or -1 for a leaf
@@ -115,6 +119,9 @@ def near_distances(a: np.ndarray, b: np.ndarray, within: np.ndarray) -> np.ndarr
 
     Products sort out most pairs, with room for their rounding; the others are measured by differences.
     """
+    if max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) > LARGE:
+        out = distances(a, b)
+        return np.where(out <= within[:, None], out, np.inf)
     squares = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None]
     i, j = np.nonzero(squares * (1 - 1e-9) - 2 * (a @ b.T) <= within[:, None] ** 2)
     out = np.full((len(a), len(b)), np.inf)
@@ -124,7 +131,11 @@ def near_distances(a: np.ndarray, b: np.ndarray, within: np.ndarray) -> np.ndarr
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances in double precision, by differences rather than products."""
+    """Euclidean distances in double precision, by differences rather than products; those beyond the largest double count as that."""
+    largest = max(np.abs(a).max(initial=0), np.abs(b).max(initial=0))
+    if largest > LARGE:  # squares would overflow
+        with np.errstate(over="ignore"):
+            return np.minimum(distances(a / largest, b / largest) * largest, np.finfo(np.float64).max)
     out = np.empty((len(a), len(b)))
     step = max(1, 2_000_000 // max(1, b.size))
     for i in range(0, len(a), step):
