@@ -1,11 +1,12 @@
 """Licence scan: a trained classifier of paragraphs, confirmed against templates.
 
-A text is split at blank lines. Each paragraph is read line by line and over neighbouring lines, since notices are wrapped and
-several may follow each other without a blank line: a window is a line, or a line with up to ``WRAPPED - 1`` more behind it. All
-windows are read as sets of words and word pairs; a multinomial logistic regression with an L1 penalty, trained on the driver from
-the notices below, gives each licence family and ``unknown`` a probability, with one temperature fitted on notices left out of
-training. A prediction stands if it is likely enough and the window holds most of the word pairs of one of the family's notices.
-All of the scan is built from array expressions within a row: no shuffle, and no Python on the executors.
+A text is split at blank lines into paragraphs, and a paragraph is read as a whole, line by line, and over neighbouring lines, since
+notices are wrapped, several may follow each other without a blank line, and one may stand in the midst of prose: a window is a
+paragraph, a line, or a line with up to ``WRAPPED - 1`` more behind it. All windows are read as sets of words and word pairs; a multinomial
+logistic regression with an L1 penalty, trained on the driver from the notices below, gives each licence family and ``unknown`` a
+probability, with one temperature fitted on notices left out of training. A prediction stands if it is likely enough and the window
+holds most of the word pairs of one of the family's notices, or all of one of its short names. All of the scan is built from array
+expressions within a row: no shuffle, and no Python on the executors.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_of, unused
+
 #: Usual short notices of each family; a, b, c mark years and holders.
 NOTICES = {
     "apache": ["Licensed under the Apache License, Version 2.0.", "This file is licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0", "you may not use this file except in compliance with the License"],
@@ -34,19 +37,61 @@ NOTICES = {
     "public-domain": ["This work is released into the public domain", "dedicated to the public domain under the CC0 license", "SPDX-License-Identifier: CC0-1.0", "This is free and unencumbered software released into the public domain"],
     "proprietary": ["All rights reserved.", "Copyright 2020 Example Ltd. All rights reserved", "proprietary and confidential, unauthorized copying is prohibited under copyright"],
 }
+#: Paragraphs of licence texts and of the headers that they ask for.
+PARAGRAPHS = {
+    "apache": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership.",
+    ],
+    "mit": [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    ],
+    "gpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/",
+    ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation",
+    ],
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "cc-by": ["This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/"],
+    "cc-by-nc": ["This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/"],
+    "cc-by-sa": ["This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/"],
+    "public-domain": [
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ],
+    "proprietary": ["This software is the confidential and proprietary information of the company. You shall not disclose such confidential information and shall use it only in accordance with the terms of the license agreement."],
+}
 #: Titles and usual short names of each family. Like all notices of few word pairs they must be held whole.
 TITLES = {
-    "apache": ["Apache License", "Apache 2.0"],
-    "mit": ["MIT License", "The MIT License (MIT)"],
-    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License"],
-    "gpl": ["GNU General Public License", "GPL v3", "GPL v2", "GNU GPL"],
-    "lgpl": ["GNU Lesser General Public License", "LGPL v3", "LGPL v2.1", "GNU LGPL"],
-    "agpl": ["GNU Affero General Public License", "AGPL v3", "GNU AGPL"],
-    "mpl": ["Mozilla Public License", "MPL 2.0"],
+    "apache": ["Apache License", "Apache 2.0", "Apache-licensed", "ASL 2.0"],
+    "mit": ["MIT License", "The MIT License (MIT)", "under MIT", "and MIT", "or MIT", "MIT-licensed"],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "BSD-2-Clause", "BSD-3-Clause", "under BSD", "BSD-licensed"],
+    "gpl": ["GNU General Public License", "GPL v3", "GPL v2", "GNU GPL", "GPLv3", "GPLv2", "GPL-3.0", "GPL-2.0", "redistribute it and/or modify"],
+    "lgpl": ["GNU Lesser General Public License", "LGPL v3", "LGPL v2.1", "GNU LGPL", "LGPLv3", "LGPLv2", "LGPL-3.0", "LGPL-2.1"],
+    "agpl": ["GNU Affero General Public License", "AGPL v3", "GNU AGPL", "AGPLv3", "AGPL-3.0"],
+    "mpl": ["Mozilla Public License", "MPL 2.0", "MPLv2"],
     "cc-by": ["CC BY 4.0", "CC BY 3.0"],
     "cc-by-nc": ["CC BY-NC 4.0", "CC BY-NC 3.0"],
     "cc-by-sa": ["CC BY-SA 4.0", "CC BY-SA 3.0"],
-    "public-domain": ["CC0 1.0"],
+    "public-domain": ["CC0 1.0", "The Unlicense"],
     "proprietary": [],
 }
 #: Sentences with words of licences that license nothing.
@@ -61,12 +106,16 @@ UNKNOWN = "unknown"
 LIKELY, CONFIRMED = 0.5, 0.6
 #: A notice of at most so many word pairs must be held whole.
 WHOLE = 3
-#: Most lines of a paragraph that are read together.
+#: Most neighbouring lines that are read together, besides the whole paragraph.
 WRAPPED = 3
 
 
 def words_of(paragraph: str) -> list[str]:
-    return [w for w in re.split(r"[^a-z0-9]+", paragraph.lower()) if w]
+    return [w for w in re.split(r"[^a-z0-9]+", paragraph.lower().replace("licence", "license")) if w]
+
+
+def notices_of(family: str) -> list[str]:
+    return [*NOTICES[family], *PARAGRAPHS[family], *TITLES[family]]
 
 
 def grams_of(words: list[str]) -> list[str]:
@@ -74,8 +123,8 @@ def grams_of(words: list[str]) -> list[str]:
 
 
 def templates() -> dict[str, list[list[str]]]:
-    """The word pairs of each notice and title of each family."""
-    return {f: [sorted({" ".join(x) for x in zip(words_of(n), words_of(n)[1:])}) for n in [*notices, *TITLES[f]]] for f, notices in NOTICES.items()}
+    """The word pairs of each notice, paragraph and title of each family; a title of one word is that word."""
+    return {f: [sorted({" ".join(x) for x in zip(words_of(n), words_of(n)[1:])}) or words_of(n) for n in notices_of(f)] for f in NOTICES}
 
 
 def _signal() -> str:
@@ -85,7 +134,8 @@ def _signal() -> str:
         spare = 0 if len(pairs) <= WHOLE else math.floor(len(pairs) * (1 - CONFIRMED) + 1e-9)
         chosen.update(sorted(pairs, key=lambda p: (-len(p), p))[: spare + 1])
     first = {c: sorted(p[1:].replace(" ", "[^a-z0-9]+") for p in chosen if p[0] == c) for c in {p[0] for p in chosen}}
-    return "(?i)(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(first.items())) + ")(?![a-z0-9])"
+    pattern = "(?i)(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(first.items())) + ")(?![a-z0-9])"
+    return pattern.replace("icense", "icen[cs]e")
 
 
 @dataclass
@@ -100,8 +150,8 @@ def _examples(seed: int) -> list[tuple[str, list[str]]]:
     """(family, words): notices whole, with a word less at either end or more around them, and for unknown the other sentences and notices with their words shuffled."""
     rng, found = random.Random(seed), []
     filler = "code here by the authors file project a of and in to for it work 2019 2024".split()
-    for family, notices in NOTICES.items():
-        for notice in [*notices, *TITLES[family]]:
+    for family in NOTICES:
+        for notice in notices_of(family):
             words = words_of(notice)
             found += [(family, words), (family, words[1:] if len(words) > 4 else words)]
             for _ in range(4):
@@ -158,7 +208,7 @@ def _literal(value, kind: str) -> Column:
 
 def _grams(paragraph: Column) -> Column:
     """Distinct words and word pairs of a paragraph."""
-    words = F.filter(F.split(F.lower(paragraph), "[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.split(F.replace(F.lower(paragraph), F.lit("licence"), F.lit("license")), "[^a-z0-9]+"), lambda w: w != "")
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
     return F.array_distinct(F.concat(words, F.coalesce(pairs, F.array().cast("array<string>"))))
 
@@ -174,9 +224,10 @@ def find_licenses(df: DataFrame, text: str = "text", into: str = "licenses", mod
     weights, bias = _literal({g: [w / model.temperature for w in r] for g, r in model.weights.items()}, "map<string,array<double>>"), _literal([b / model.temperature for b in model.bias], "array<double>")
     known = _literal(sorted(model.weights), "array<string>")
     pairs = templates()
+    lines_, judged_, sure_ = unused(df, "lines", "judged", "sure")
     notices, families = _literal([*pairs.values(), []], "array<array<array<string>>>"), _literal(model.families, "array<string>")
     anchor, signal = "(?i)" + "|".join(ANCHORS), _signal()
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = text_of(text)
 
     def classified(grams: Column) -> Column:
         z = F.aggregate(F.array_intersect(grams, known), bias, lambda acc, g: F.zip_with(acc, F.try_element_at(weights, g), lambda a, b: a + b))
@@ -191,18 +242,28 @@ def find_licenses(df: DataFrame, text: str = "text", into: str = "licenses", mod
         sure = (best < k) & (chance >= LIKELY) & held
         return F.struct(p["nr"].alias("nr"), p["span"].alias("span"), p["paragraph"].alias("paragraph"), F.when(sure, F.try_element_at(families, best)).otherwise(UNKNOWN).alias("family"), chance.alias("chance"))
 
-    lines, some = F.col("__lines"), body.rlike(anchor) | body.rlike(signal)
+    lines, some = F.col(lines_), body.rlike(anchor) | body.rlike(signal)
+
+    blank = lambda x: F.trim(F.translate(x, "\r\t", "  ")) == ""
 
     def window(i: Column, span: int) -> Column:
         held = F.slice(lines, i + 1, span)
-        whole = (F.size(held) == span) & ~F.exists(held, lambda x: F.trim(F.translate(x, "\r\t", "  ")) == "") if span > 1 else F.lit(True)
+        whole = (F.size(held) == span) & ~F.exists(held, blank) if span > 1 else F.lit(True)
         return F.struct(i.alias("nr"), F.lit(span).alias("span"), F.when(whole, F.array_join(held, "\n")).alias("paragraph"))
 
-    windows = F.flatten(F.transform(lines, lambda _, i: F.array(*(window(i, span) for span in range(1, WRAPPED + 1)))))
+    def paragraph(line: Column, i: Column) -> Column:
+        """All lines from one that begins a paragraph to the next blank one, if they are more than the other windows hold."""
+        rest = F.slice(lines, i + 1, F.size(lines))
+        end = F.array_position(F.transform(rest, blank), True).cast("int")
+        span = F.when(end > 0, end - 1).otherwise(F.size(rest))
+        begins = ~blank(line) & ((i == 0) | blank(F.try_element_at(lines, F.greatest(i, F.lit(1)))))
+        return F.struct(i.alias("nr"), span.alias("span"), F.when(begins & (span > WRAPPED), F.array_join(F.slice(rest, F.lit(1), span), "\n")).alias("paragraph"))
+
+    windows = F.flatten(F.transform(lines, lambda x, i: F.array(*(window(i, span) for span in range(1, WRAPPED + 1)), paragraph(x, i))))
     windows = F.filter(windows, lambda p: p["paragraph"].rlike(signal) | ((p["span"] == 1) & p["paragraph"].rlike(anchor)))
     read = F.transform(windows, lambda p: F.struct(*(p[c].alias(c) for c in ("nr", "span", "paragraph")), _grams(p["paragraph"]).alias("grams")))
     weighed = F.transform(read, lambda p: F.struct(*(p[c].alias(c) for c in ("nr", "span", "paragraph", "grams")), classified(p["grams"]).alias("e")))
-    judgements = F.col("__judged")
+    judgements = F.col(judged_)
     meet = lambda a, b: (a["nr"] < b["nr"] + b["span"]) & (b["nr"] < a["nr"] + a["span"])
     sure = lambda p: p["family"] != UNKNOWN
 
@@ -213,17 +274,17 @@ def find_licenses(df: DataFrame, text: str = "text", into: str = "licenses", mod
         return F.aggregate(rank, none, lambda acc, p: F.when(F.exists(acc, lambda q: meet(p, q) & (p["family"] == q["family"])), acc).otherwise(F.concat(acc, F.array(p))))
 
     # Besides, a line with an anchor that no licence takes.
-    other = F.filter(judgements, lambda p: ~sure(p) & (p["span"] == 1) & p["paragraph"].rlike(anchor) & ~F.exists("__sure", lambda q: meet(p, q)))
-    found = F.array_sort(F.transform(F.concat("__sure", other), lambda p: F.struct(*(p[c].alias(c) for c in ("nr", "paragraph", "family", "chance")))))
+    other = F.filter(judgements, lambda p: ~sure(p) & (p["span"] == 1) & p["paragraph"].rlike(anchor) & ~F.exists(sure_, lambda q: meet(p, q)))
+    found = F.array_sort(F.transform(F.concat(F.col(sure_), other), lambda p: F.struct(*(p[c].alias(c) for c in ("nr", "paragraph", "family", "chance")))))
     nothing = F.array().cast("array<struct<nr:int,paragraph:string,family:string,chance:double>>")
-    split = df.withColumn("__lines", F.when(some, F.split(body, "\n")))
-    judged_all = split.withColumn("__judged", F.transform(weighed, judged)).withColumn("__sure", chosen(judgements))
-    return judged_all.withColumn(into, F.coalesce(found, nothing)).drop("__lines", "__judged", "__sure")
+    split = df.withColumn(lines_, F.when(some, F.split(body, "\n")))
+    judged_all = split.withColumn(judged_, F.transform(weighed, judged)).withColumn(sure_, chosen(judgements))
+    return judged_all.withColumn(into, F.coalesce(found, nothing)).drop(lines_, judged_, sure_)
 
 
 def license_report(df: DataFrame, text: str = "text", doc_id: str = "doc_id", model: Model | None = None) -> DataFrame:
     """One row per input row: doc_id, licenses (families found, sorted, comma-joined), n_found, n_unknown (paragraphs with an anchor that license nothing known)."""
-    found = find_licenses(df.select(doc_id, text), text, "__found", model)
+    found = find_licenses(df.select(F.col(f"`{doc_id}`").alias(doc_id), F.col(f"`{text}`").alias(text)), text, "__found", model)
     known = F.filter("__found", lambda p: p["family"] != UNKNOWN)
     return found.select(
         F.col(doc_id).alias("doc_id"),

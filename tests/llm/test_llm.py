@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -410,9 +411,105 @@ def test_wrapped_licenses_and_titles(spark):
     assert [(r.licenses, r.n_found, r.n_unknown) for r in got] == list(cases.values())
 
 
+def scanned(text, model):
+    """Licences of a text by plain loops: line, family and whether it is known."""
+    lines = (text or "").split("\n")
+    blank = [not x.strip(" \t\r") for x in lines]
+    spans = []
+    for i in range(len(lines)):
+        spans += [(i, n) for n in range(1, licenses.WRAPPED + 1) if n == 1 or (i + n <= len(lines) and not any(blank[i : i + n]))]
+        if not blank[i] and (i == 0 or blank[i - 1]):
+            n = next((k for k in range(i, len(lines)) if blank[k]), len(lines)) - i
+            spans += [(i, n)] * (n > licenses.WRAPPED)
+    judged = []
+    for i, n in spans:
+        grams = licenses.grams_of(licenses.words_of("\n".join(lines[i : i + n])))
+        z = [(b + sum(model.weights[g][k] for g in grams if g in model.weights)) / model.temperature for k, b in enumerate(model.bias)]
+        best = max(range(len(z)), key=lambda k: z[k])
+        chance = 1 / sum(math.exp(x - z[best]) for x in z)
+        family = model.families[best]
+        shares = [(len(t), len(set(t) & set(grams)) / len(t)) for t in licenses.templates().get(family, [])]
+        if chance >= licenses.LIKELY and any(s >= (1.0 if n <= licenses.WHOLE else licenses.CONFIRMED) for n, s in shares):
+            judged.append((n, i, family))
+    found = []
+    for n, i, family in sorted(judged):
+        if not any(f == family and i < j + m and j < i + n for m, j, f in found):
+            found.append((n, i, family))
+    return sorted((i, f) for _, i, f in found)
+
+
+#: Notices and near misses that are neither in the training texts nor among the templates.
+HELD_OUT = [
+    ("apache", "The project is made available under the Apache License 2.0; see the file for details."), ("apache", "Except where noted, all of it may be used under the Apache 2.0 terms"), ("mit", "You may use this package under the MIT license."),
+    ("mit", "Our samples are MIT-licensed"), ("bsd", "This driver ships under the BSD 3-clause licence."), ("gpl", "The plugin can be had under GPLv2 or a commercial agreement"), ("gpl", "you may copy it under the GNU General Public License if you wish"),
+    ("lgpl", "The runtime is covered by the GNU Lesser General Public License"), ("agpl", "Server code: GNU Affero General Public License, third version"), ("mpl", "Parts come under the Mozilla Public License"), ("cc-by", "Photos: CC BY 4.0, by their makers"),
+    ("cc-by-nc", "Slides are shared as CC BY-NC 4.0"), ("cc-by-sa", "Maps reused under CC BY-SA 3.0"), ("proprietary", "Copyright 1999 Some Firm. All rights reserved worldwide."), ("public-domain", "The author has dedicated it to the public domain under the CC0 license text"),
+    *((None, x) for x in ("Please license your dog before May", "copyright law is taught on Mondays", "permission slips are due on Friday", "the Apache people of the plains", "a gnu is an animal of the savanna", "the commons room is open", "her pilot's licence expired", "the patent was granted free of errors")),
+]
+
+
+def test_licenses_against_brute_force_and_held_out_notices(spark):
+    model = licenses.train()
+    texts = [t for _, t in HELD_OUT] + [None, "", "\n\n", "a\r\n\t\nMIT License", "word " * 40_000 + "\nReleased under the MIT License.", "\n".join(licenses.PARAGRAPHS["gpl"][0].split(" ")), "MIT License\nMIT License\n\nMIT License", "MIT License\nMIT License\n\nMIT License"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text rlike '(?i)licen|rights'").limit(25).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: sorted((x.nr, x.family) for x in r.found if x.family != licenses.UNKNOWN) for r in licenses.find_licenses(df, into="found", model=model).collect()}
+    assert got == {i: scanned(t, model) for i, t in enumerate(texts)}
+    families = [[f for _, f in got[i]] for i in range(len(HELD_OUT))]
+    right = [want in found if want else not found for (want, _), found in zip(HELD_OUT, families)]
+    assert sum(right) >= 0.9 * len(right) and all(ok for ok, (want, _) in zip(right, HELD_OUT) if not want), [x for ok, x in zip(right, HELD_OUT) if not ok]
+    assert licenses.license_report(df.limit(0)).count() == 0
+
+
+def test_scores_come_from_the_highest_of_all_windows():
+    rng = random.Random(14)
+    texts = [(i % 2, words(rng, rng.choice([5, 70, 300])) + (" grumble grumbled" if i % 2 else "")) for i in range(120)]
+    net = toxicity.fit(texts, epochs=3)
+    asked = [t for _, t in texts[:30]] + ["", "?!", words(rng, 3000) + " grumble", "grumble"]
+    for text, score in zip(asked, toxicity.Scorer(net).scores(asked)):
+        w = toxicity.words_of(text)
+        names = sorted(set(w))
+        number = {x: i for i, x in enumerate(names)}
+        logits = [toxicity.window_logits(net, [np.array([number[x] for x in w[a:b]])], names)[0] for a, b in toxicity.windows_of(len(w))] if w else []
+        want = toxicity.sigmoid(net.slope * np.clip(max(logits), -20, 20) + net.shift) if w else toxicity.sigmoid(net.empty)
+        assert score == pytest.approx(want, abs=1e-4)
+
+
+def test_spans_of_odd_texts(spark):
+    """Empty, long and repeated texts, and none at all."""
+    long = "x" * 150_000 + " a@b.co " + "1" * 100_000 + " token=abcdef " + "f" * 30
+    data = [(1, long, "en", "s", 1), (1, long, "en", "s", 1), (2, "", "en", "s", 0), (3, None, None, None, None)]
+    personal, secret = pii.pii_report(docs(spark, data)).collect(), secret_ledger.secret_report(docs(spark, data)).collect()
+    assert [r.n_email for r in personal if r.doc_id == 1] == [1, 1] and [(r.n_assign, r.n_hex) for r in secret if r.doc_id == 1] == [(1, 2)] * 2
+    assert {(r.doc_id, r.spans) for r in personal + secret if r.doc_id != 1} == {(2, ""), (3, "")}
+
+
+def test_nearest_where_squares_overflow(spark):
+    """Vectors of huge components keep their places; a distance beyond the largest number counts as that."""
+    data = [(0, [1e160, 0.0]), (100, [1e160, 2e150]), (1, [1e160, 1e150]), (2, [-1.7e308, 1.0]), (3, [1.7e308, 0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = vptree.nearest(df, df.where("vec_id % 100 = 0"), factor=1.0).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 100), (0, 2), (0, 3), (100, 1), (100, 0), (100, 2), (100, 3)]
+    assert got[0].score == pytest.approx(1e150) and all(np.isfinite(r.score) for r in got)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "pii", "packing"]
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 0 and got.agg(F.countDistinct("sequence_id")).first()[0] > 0
+
+
+def test_pipeline_on_odd_and_empty_documents(spark, tmp_path):
+    """Nulls, empty texts, copies and near copies, without labels: what stays is known; an empty table gives nothing."""
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    w = words(rng, 60)
+    data = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, w, "en", "s", 1), (4, w, "en", "s", 1), (5, w + " more", "en", "s", 1), (6, "mail a@b.co", "en", "s", 1), (None, "alone", None, None, None)]
+    for name, rows_ in (("some", data), ("none", [])):
+        spark.createDataFrame(rows_, DOCS).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 2, 4, 6] and corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
