@@ -52,6 +52,14 @@ def initial_catalogue(documents: DataFrame, prices: DataFrame) -> DataFrame:
     return documents.join(codes, "code", "left_semi")
 
 
+def daily_delta(documents: DataFrame, prices: DataFrame, catalogue: DataFrame, enriched_at: datetime | None = None) -> DataFrame:
+    """The catalogue rows of a day's export that change something: of priced or known barcodes, those whose entry is new or differs."""
+    codes = prices.select(F.col("product_code").alias("code")).union(catalogue.select("ean")).distinct()
+    rows = shape_catalogue(documents.join(codes, "code", "left_semi"), enriched_at)
+    stored = catalogue.select("ean", *(c for c in rows.columns if c not in ("ean", "enriched_at")))
+    return rows.join(stored, [rows[c].eqNullSafe(stored[c]) for c in stored.columns], "left_anti")
+
+
 def with_embeddings(catalogue: DataFrame, embeddings: DataFrame) -> DataFrame:
     """``catalogue`` with the embedding of each barcode that has one."""
     return catalogue.join(embeddings.select("ean", "embedding"), "ean", "left")

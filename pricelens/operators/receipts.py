@@ -276,7 +276,7 @@ def _normal_ticket(raw: Column, day: Column) -> Column:
 
 def clean_transcription(text: Column) -> Column:
     """A transcription without fences, chatty lines, lines that begin with "json", and empty lines."""
-    lines = F.transform(F.split(unfenced(F.regexp_replace(text, r"\r\n?", "\n")), "\n"), F.trim)
+    lines = F.transform(F.split(unfenced(F.regexp_replace(text, r"\r\n?", "\n")), "\n"), lambda x: F.coalesce(stripped(x), F.lit("")))
     return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(CHAT_PREFIX) & ~F.lower(x).startswith("json")), "\n")
 
 

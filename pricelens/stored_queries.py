@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import queries as Q
 from .operators import baskets, catalogue, cleaning, receipts, similarity
-from .plans import gold, serving
+from .plans import daily, gold, serving
 from .queries import _CATALOGUE, _HISTORY, _MOVES, _PURCHASES, PRICE_OBS, RAW_SQL, RUN, _r6, _weekly, price_obs, r6, t
 from .schemas import CATALOGUE, RAW_PRICES
 from .sources import tables
@@ -148,6 +148,36 @@ def alert_report_stored(spark, sf_dir):
     return both.select("run_date", "section", "listed", (F.col("place") + 1).cast("long").alias("place"), "x.product_code", F.coalesce("x.reference_week", "x.week_start_date").alias("week"))
 
 
+def daily_run(spark, sf_dir):
+    """The daily chain over the snapshot, twice; the rows of the second run, and of the tables it leaves."""
+    base = folder(spark)
+    for _ in range(2):
+        counts = daily.run_daily(Q.raw_snapshot(spark, sf_dir), base, Q.LAST, Q.AT, order=[F.col("seen")], weeks=None)
+    counts["stored prices"] = spark.read.parquet(f"{base}/prices").count()
+    counts["reports"] = spark.read.text(f"{base}/alerts/date={Q.LAST}/report").count()
+    return spark.createDataFrame(list(counts.items()), "name string, n long")
+
+
+def catalogue_delta(spark, sf_dir):
+    """A day's export against the catalogue: every fifth document has a new brand, and some products are not stored yet."""
+    documents = Q.product_documents(spark, sf_dir)
+    code = F.col("code").cast("long")
+    stored = catalogue.shape_catalogue(documents.where(code % 7 != 0))
+    changed = documents.withColumn("product", F.col("product").withField("brands", F.when(code % 5 == 0, "Other brand").otherwise(F.col("product.brands"))))
+    prices = t(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("product_code"))
+    return catalogue.daily_delta(changed, prices, stored).select("ean", "brand", "off_found")
+
+
+def dead_letters(spark, sf_dir):
+    """Users as tickets: those with clicks fail once more than they have errors; then letters of eight days are dropped."""
+    ev = t(spark, sf_dir, "events")
+    attempts = ev.where("event_type = 'error'").groupBy(F.col("user_id").alias("ticket_id")).agg(F.count("*").alias("attempts"))
+    made = events.retried(ev.where("event_type = 'click'").select(F.col("user_id").alias("ticket_id")), attempts, Q.AT)
+    dead = made.where("dead_at is not null").withColumn("dead_at", F.when(F.col("ticket_id") % 2 == 0, F.col("dead_at") - F.make_interval(days=F.lit(8))).otherwise(F.col("dead_at")))
+    waits = made.where("dead_at is null").select("ticket_id", "attempts", (F.unix_timestamp("next_at") - F.unix_timestamp(F.lit(Q.AT).cast("timestamp"))).alias("wait"))
+    return waits.unionByName(events.kept_letters(dead, Q.AT).select("ticket_id", "attempts", F.lit(-1).cast("long").alias("wait")))
+
+
 # What other queries leave out of their results ------------------------------------------------------------------------
 
 
@@ -240,7 +270,7 @@ def json_receipts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        partition_replace, upsert_prices, upsert_lines, upsert_aliases, upsert_catalogue, snapshot_archive, stored_documents, streamed_events, json_rows, gold_counts, gold_default_medians, alert_report_stored, clean_metadata,
+        partition_replace, upsert_prices, upsert_lines, upsert_aliases, upsert_catalogue, snapshot_archive, stored_documents, streamed_events, json_rows, gold_counts, gold_default_medians, alert_report_stored, daily_run, catalogue_delta, dead_letters, clean_metadata,
         rejection_records, rejection_metrics, brand_increases, index_points, personal_alerts, resolve_lines, substitute_states, substitutes_recall, json_receipts,
     )
 }
@@ -269,6 +299,15 @@ ORACLES = {
     "gold_default_medians": Q.ORACLES["brand_week_index"],
     "alert_report_stored": f"""WITH {PRICE_OBS}, {_weekly('product_code')}, {_MOVES}, {Q._anomalies('product_code')}, {_TOP}
         SELECT '2001-06-01' AS run_date, section, count(*) OVER (PARTITION BY section) AS listed, place, product_code, week FROM (FROM tops WHERE place <= 50 UNION ALL BY NAME FROM odds WHERE place <= 100)""",
+    "daily_run": f"""WITH {RAW_SQL}, g AS (SELECT *, date_trunc('week', CAST(l_shipdate AS DATE)) AS w FROM flagged WHERE NOT iqr_outlier), b AS (SELECT w FROM g GROUP BY w HAVING count(*) >= 3),
+        p AS (SELECT w, product_code, quantile_disc(price, 0.5) AS m FROM g GROUP BY ALL HAVING count(*) >= 3), moves AS (SELECT *, lag(m) OVER (PARTITION BY product_code ORDER BY w) AS before FROM p),
+        a AS (SELECT m, avg(m) OVER (PARTITION BY product_code) AS x, stddev_pop(m) OVER (PARTITION BY product_code) AS s FROM p)
+        SELECT 'prices' AS name, count(*) AS n FROM flagged UNION ALL SELECT 'stored prices', count(*) FROM flagged UNION ALL SELECT 'rejections', count(*) FROM judged WHERE reason IS NOT NULL UNION ALL SELECT 'brand_week_aggregates', count(*) FROM b
+        UNION ALL SELECT 'brand_week_index', count(*) FROM b UNION ALL SELECT 'product_rankings', least(count(*), 500) FROM moves WHERE before > 0 UNION ALL SELECT 'price_anomalies', count(*) FROM a WHERE s > 0 AND abs((m - x) / s) >= 3 UNION ALL SELECT 'reports', 1""",
+    "catalogue_delta": """SELECT cast(p_partkey AS VARCHAR) AS ean, CASE WHEN p_partkey % 9 <> 0 THEN CASE WHEN p_partkey % 5 = 0 THEN 'Other brand' ELSE p_brand END END AS brand, p_partkey % 9 <> 0 AS off_found FROM part
+        WHERE CASE WHEN p_partkey % 7 = 0 THEN p_partkey % 2 = 0 ELSE p_partkey % 5 = 0 AND p_partkey % 9 <> 0 END""",
+    "dead_letters": """WITH n AS (SELECT user_id AS ticket_id, 1 + count(*) FILTER (event_type = 'error') AS attempts FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'click') > 0)
+        SELECT ticket_id, CAST(attempts AS INT) AS attempts, CASE WHEN attempts >= 5 THEN -1 ELSE least(10 * 2 ** (attempts - 1), 600) END::BIGINT AS wait FROM n WHERE attempts < 5 OR ticket_id % 2 <> 0""",
     "clean_metadata": f"""WITH {RAW_SQL}, c AS (SELECT *, length('Carrefour  Market, ' || l_suppkey) % 3 AS m FROM firsts)
         SELECT id, CASE WHEN m = 2 THEN 45.5::DOUBLE END AS latitude, CASE WHEN price <= 100 THEN {_r6('price')} END AS longitude, DATE '2001-01-01' AS pipeline_run_date, 'hf-open-prices' AS source, true AS ingested, product_code AS payload_code,
             l_suppkey::BIGINT AS payload_suppkey, full_price IS NULL AS payload_null FROM c""",

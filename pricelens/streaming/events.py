@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,28 @@ def settled(events: DataFrame, tickets: DataFrame, errors: DataFrame) -> DataFra
     return out.join(known, "ticket_id", "left").withColumn("status", status).drop("__done")
 
 
+#: Attempts before a message is a dead letter, seconds to wait between them (at first and at most), days that dead letters are kept.
+ATTEMPTS, WAITS, RETENTION = 5, (10, 600), 7
+
+
+def retried(failed: DataFrame, attempts: DataFrame, at: datetime, limit: int = ATTEMPTS) -> DataFrame:
+    """ticket_id, attempts, next_at, dead_at of the ``failed`` tickets (ticket_id): one attempt more than ``attempts`` (ticket_id, attempts) knows.
+
+    The wait doubles with each attempt. A ticket that has failed ``limit`` times is tried no more and gets the time as dead_at.
+    """
+    known = attempts.groupBy("ticket_id").agg(F.max("attempts").alias("__before"))
+    n = F.coalesce("__before", F.lit(0)).cast("int") + 1
+    wait = F.least(F.lit(WAITS[0]) * F.pow(F.lit(2), F.col("attempts") - 1), F.lit(WAITS[1])).cast("int")
+    now, dead = F.lit(at).cast("timestamp"), F.col("attempts") >= limit
+    counted = failed.select("ticket_id").distinct().join(known, "ticket_id", "left").select("ticket_id", n.alias("attempts"))
+    return counted.withColumns({"next_at": F.when(~dead, F.timestamp_seconds(F.unix_timestamp(now) + wait)), "dead_at": F.when(dead, now)})
+
+
+def kept_letters(dead: DataFrame, at: datetime, days: int = RETENTION) -> DataFrame:
+    """The dead letters that are not past their retention."""
+    return dead.where(F.col("dead_at") >= F.lit(at).cast("timestamp") - F.make_interval(days=F.lit(days)))
+
+
 def run_ticket_stream(
     source: DataFrame, texts: Callable[[], DataFrame], base: str, watermark: str = "7 days", trigger: dict | None = None
 ) -> StreamingQuery:

@@ -55,3 +55,32 @@ def test_receipts(spark):
     assert found["c"] == [("POIS CHICHES BOCAL 400G", 1.3, 3), ("POIRE CONFERENCE", 2.5, 1), ("RIZ ROND SACHET 1KG", 2.2, 1)]
     assert found["d"] == found["e"] == [("PAIN X", 1.2, 2), ("LAIT", 0.95, 1)]
     assert {r.ticket_id for r in errors.collect()} == {"f", "g"}
+
+
+def test_partial_tickets_merge(spark):
+    """Of several passes the first value of each header field, and the last list that isn't empty."""
+    head = '{"ticket": {"date": " ", "chaine_supermarche": "HALLES", "adresse": ""}}'
+    late = '```json\n{"ticket": {"date": "03/11/2025", "chaine_supermarche": "OTHER", "adresse": "3 RUE HAUTE", "produits": [{"nom_produit": "PAIN", "prix_unitaire_ou_kg": 1.2, "unites": 1}]}}\n```'
+    empty = '{"ticket": {"date": "", "produits": []}}'
+    df = spark.createDataFrame([("a", 1, head), ("a", 2, late), ("a", 3, empty), ("a", 4, "no JSON"), ("b", 1, None)], "ticket_id string, pass_nr int, text string")
+    got = {r.ticket_id: r.ticket for r in receipts.merge_partial(df).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.date, a.chaine_supermarche, a.adresse, [p.nom_produit for p in a.produits]) == ("03/11/2025", "HALLES", "3 RUE HAUTE", ["PAIN"])
+    assert (b.date, b.chaine_supermarche, b.produits) == ("", "", None)
+
+
+def test_transcription_is_cleaned(spark):
+    text = "```\nNote: this is blurred\r\nHALLES\r\n\r\n  PAIN 1,20 €\njson follows\nI think so\n```"
+    df = spark.createDataFrame([(text,), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(receipts.clean_transcription(df.t)).collect()] == ["HALLES\nPAIN 1,20 €", "", None]
+
+
+def test_model_output_is_judged(spark):
+    good = '{"ticket": {"chaine_supermarche": "HALLES", "produits": []}}'
+    cases = {
+        ("", "json"): "empty output", (" ", "transcribe"): "empty output", ("one line", "transcribe"): "transcription too short", ("A\nthis image is dark", "transcribe"): "chatty output (this image)", ("A\nB", "transcribe"): None,
+        ('{"ticket": {\n}}', "transcribe"): "model returned JSON instead of transcription", ("no ticket", "json"): "invalid or missing ticket JSON", ('{"ticket": {"chaine_supermarche": "", "produits": []}}', "multipass"): "empty ticket", (good, "json"): None, ("x", "other"): None,
+    }
+    for (text, mode), want in cases.items():
+        df = spark.createDataFrame([(text,)], "t string")
+        assert df.select(receipts.output_error(df.t, mode)).first()[0] == want, (text, mode)
