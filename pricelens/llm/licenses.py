@@ -224,7 +224,7 @@ def find_licenses(df: DataFrame, text: str = "text", into: str = "licenses", mod
     weights, bias = _literal({g: [w / model.temperature for w in r] for g, r in model.weights.items()}, "map<string,array<double>>"), _literal([b / model.temperature for b in model.bias], "array<double>")
     known = _literal(sorted(model.weights), "array<string>")
     pairs = templates()
-    lines_, judged_, sure_ = unused(df, "lines", "judged", "sure")
+    lines_, blank_, judged_, sure_ = unused(df, "lines", "blank", "judged", "sure")
     notices, families = _literal([*pairs.values(), []], "array<array<array<string>>>"), _literal(model.families, "array<string>")
     anchor, signal = "(?i)" + "|".join(ANCHORS), _signal()
     body = text_of(text)
@@ -244,22 +244,19 @@ def find_licenses(df: DataFrame, text: str = "text", into: str = "licenses", mod
 
     lines, some = F.col(lines_), body.rlike(anchor) | body.rlike(signal)
 
-    blank = lambda x: F.trim(F.translate(x, "\r\t", "  ")) == ""
-
     def window(i: Column, span: int) -> Column:
         held = F.slice(lines, i + 1, span)
-        whole = (F.size(held) == span) & ~F.exists(held, blank) if span > 1 else F.lit(True)
+        whole = (F.size(held) == span) & ~F.array_contains(F.slice(blank_, i + 1, span), True) if span > 1 else F.lit(True)
         return F.struct(i.alias("nr"), F.lit(span).alias("span"), F.when(whole, F.array_join(held, "\n")).alias("paragraph"))
 
-    def paragraph(line: Column, i: Column) -> Column:
+    def paragraph(i: Column) -> Column:
         """All lines from one that begins a paragraph to the next blank one, if they are more than the other windows hold."""
-        rest = F.slice(lines, i + 1, F.size(lines))
-        end = F.array_position(F.transform(rest, blank), True).cast("int")
-        span = F.when(end > 0, end - 1).otherwise(F.size(rest))
-        begins = ~blank(line) & ((i == 0) | blank(F.try_element_at(lines, F.greatest(i, F.lit(1)))))
-        return F.struct(i.alias("nr"), span.alias("span"), F.when(begins & (span > WRAPPED), F.array_join(F.slice(rest, F.lit(1), span), "\n")).alias("paragraph"))
+        end = F.array_position(F.slice(blank_, i + 1, F.size(lines)), True).cast("int")
+        begins = ~F.try_element_at(F.col(blank_), i + 1) & ((i == 0) | F.try_element_at(F.col(blank_), F.greatest(i, F.lit(1))))
+        span = F.when(begins, F.when(end > 0, end - 1).otherwise(F.size(lines) - i)).otherwise(0)
+        return F.transform(F.array(span), lambda n: F.struct(i.alias("nr"), n.alias("span"), F.when(n > WRAPPED, F.array_join(F.slice(lines, i + 1, n), "\n")).alias("paragraph")))[0]
 
-    windows = F.flatten(F.transform(lines, lambda x, i: F.array(*(window(i, span) for span in range(1, WRAPPED + 1)), paragraph(x, i))))
+    windows = F.flatten(F.transform(lines, lambda _, i: F.array(*(window(i, span) for span in range(1, WRAPPED + 1)), paragraph(i))))
     windows = F.filter(windows, lambda p: p["paragraph"].rlike(signal) | ((p["span"] == 1) & p["paragraph"].rlike(anchor)))
     read = F.transform(windows, lambda p: F.struct(*(p[c].alias(c) for c in ("nr", "span", "paragraph")), _grams(p["paragraph"]).alias("grams")))
     weighed = F.transform(read, lambda p: F.struct(*(p[c].alias(c) for c in ("nr", "span", "paragraph", "grams")), classified(p["grams"]).alias("e")))
@@ -277,9 +274,9 @@ def find_licenses(df: DataFrame, text: str = "text", into: str = "licenses", mod
     other = F.filter(judgements, lambda p: ~sure(p) & (p["span"] == 1) & p["paragraph"].rlike(anchor) & ~F.exists(sure_, lambda q: meet(p, q)))
     found = F.array_sort(F.transform(F.concat(F.col(sure_), other), lambda p: F.struct(*(p[c].alias(c) for c in ("nr", "paragraph", "family", "chance")))))
     nothing = F.array().cast("array<struct<nr:int,paragraph:string,family:string,chance:double>>")
-    split = df.withColumn(lines_, F.when(some, F.split(body, "\n")))
+    split = df.withColumn(lines_, F.when(some, F.split(body, "\n"))).withColumn(blank_, F.transform(lines, lambda x: F.trim(F.translate(x, "\r\t", "  ")) == ""))
     judged_all = split.withColumn(judged_, F.transform(weighed, judged)).withColumn(sure_, chosen(judgements))
-    return judged_all.withColumn(into, F.coalesce(found, nothing)).drop(lines_, judged_, sure_)
+    return judged_all.withColumn(into, F.coalesce(found, nothing)).drop(lines_, blank_, judged_, sure_)
 
 
 def license_report(df: DataFrame, text: str = "text", doc_id: str = "doc_id", model: Model | None = None) -> DataFrame:
