@@ -27,7 +27,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def _replace(spark: SparkSession, fresh: str, path: str) -> None:
-    """Put the directory ``fresh`` in the place of ``path``; on failure the old one comes back."""
+    """Put the directory ``fresh`` in the place of ``path``; on failure the old one comes back.
+
+    Between the two renames there is nothing at ``path``: a reader that plans in that moment fails and has to try again.
+    """
     fs, target = _path(spark, path)
     _, new = _path(spark, fresh)
     _, old = _path(spark, f"{path}.old-{uuid.uuid4().hex}")
@@ -149,11 +152,20 @@ def upsert(
     With ``partition_col`` only partitions that hold a key of the source, or get one, are rewritten; a key may move between them.
     Repeating an upsert changes nothing.
     """
+    source = source.persist()  # it is counted, checked and merged
+    try:
+        return _upsert(path, source, keys, update_cols, keep_if_null, partition_col)
+    finally:
+        source.unpersist()
+
+
+def _upsert(path: str, source: DataFrame, keys: list[str], update_cols: list[str] | None, keep_if_null: tuple[str, ...], partition_col: str | None) -> int:
     spark = source.sparkSession
-    n = source.count()
+    seen = source.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    n = seen["rows"] or 0
     if not n:
         return 0
-    if source.groupBy(*keys).count().where("count > 1").limit(1).count():
+    if seen["most"] > 1:
         raise ValueError(f"the source holds a key of {keys} more than once")
     if not exists(spark, path):
         replace_table(source, path, partition_col)

@@ -57,8 +57,8 @@ def claimed(events: DataFrame, tickets: DataFrame) -> DataFrame:
 
 
 def settled(events: DataFrame, tickets: DataFrame, errors: DataFrame) -> DataFrame:
-    """ticket_id, user_id, status, enseigne, ticket_date, total_amount, error: done, failed with a reason, or pending without a text yet."""
-    out = events.select("ticket_id", "user_id").dropDuplicates(["ticket_id"]).join(tickets, "ticket_id", "left").join(errors.withColumnRenamed("reason", "error"), "ticket_id", "left")
+    """ticket_id, user_id, day of the event, status, enseigne, ticket_date, total_amount, error: done, failed with a reason, or pending without a text yet."""
+    out = events.select("ticket_id", "user_id", F.to_date("published_at").alias("day")).dropDuplicates(["ticket_id"]).join(tickets, "ticket_id", "left").join(errors.withColumnRenamed("reason", "error"), "ticket_id", "left")
     known = tickets.select("ticket_id", F.lit(True).alias("__done"))
     status = F.when(F.col("error").isNotNull(), "failed").when(F.col("__done"), "done").otherwise("pending")
     return out.join(known, "ticket_id", "left").withColumn("status", status).drop("__done")
@@ -106,8 +106,10 @@ def run_ticket_stream(
             if exists(spark, f"{base}/tickets"):
                 todo = claimed(todo, spark.read.parquet(f"{base}/tickets"))
             tickets, lines, errors = parse_receipts(texts().join(todo.select("ticket_id"), "ticket_id", "left_semi"))
-            upsert(f"{base}/lines", lines, ["ticket_id", "line_index"], update_cols=[c for c in lines.columns if c not in ("ticket_id", "line_index", "validated_by_user")])
-            upsert(f"{base}/tickets", settled(todo, tickets, errors), ["ticket_id"])
+            # Both tables lie in partitions by the day of the event, so that a batch rewrites its own days only.
+            lines = lines.join(todo.select("ticket_id", F.to_date("published_at").alias("day")), "ticket_id")
+            upsert(f"{base}/lines", lines, ["ticket_id", "line_index"], [c for c in lines.columns if c not in ("ticket_id", "line_index", "validated_by_user")], partition_col="day")
+            upsert(f"{base}/tickets", settled(todo, tickets, errors), ["ticket_id"], partition_col="day")
         finally:
             df.unpersist()
 
