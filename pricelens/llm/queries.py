@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, licenses, order_minhash, packing, pii, secret_ledger, sentencepiece_viterbi, toxicity, vptree
+from pyspark.sql import functions as F
+
+from . import exact_dedup, langid, licenses, merkle, order_minhash, packing, pii, secret_ledger, sentencepiece_viterbi, toxicity, vptree
 from .common import read
 
 
@@ -47,6 +49,11 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.manifest(read(spark, sf_dir, "documents"), tampered=tampered, instead={"n_chars": F.col("n_chars") + 1})
+
+
 QUERIES = {
     "op1_vptree": op1_vptree,
     "op2_near_dedup": op2_near_dedup,
@@ -58,8 +65,10 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_merkle": op13_merkle,
 }
 
+
 def _matches(kinds: dict[str, str]) -> str:
     """DuckDB SQL for every match of the patterns in the documents, with its position: rid, kind, nr, m, start."""
     found = " UNION ALL ".join(
@@ -82,7 +91,37 @@ _MOD97 = f"""list_reduce(list_prepend(0, [CASE WHEN substr({_MOVED}, j, 1) BETWE
     ELSE ascii(substr({_MOVED}, j, 1)) - 55 END FOR j IN range(1, 1 + length({_MOVED}))]),
     lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END) = 1"""
 
+def _leaf(n_chars: str) -> str:
+    told = lambda c: f"coalesce(strlen(cast({c} AS VARCHAR)) || ':' || cast({c} AS VARCHAR), '-')"
+    return "sha256(" + " || ".join(told(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: Unsigned crc32 of the id as text: each character is taken in, then eight steps by bit (written as -1).
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([list_prepend(ascii(c)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]) FOR c IN string_split(cast(doc_id AS VARCHAR), '')])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+_PAIRS = "[sha256(list_aggregate(l[2 * i - 1 : 2 * i], 'string_agg', '')) FOR i IN range(1, (len(l) + 1) // 2 + 1)]"
+
 ORACLES = {
+    "op13_merkle": f"""
+        WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM (
+                SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS shown FROM documents)),
+            floors(lang, level, l) AS (SELECT lang, 0, list(leaf ORDER BY r) FROM d GROUP BY lang
+                UNION ALL SELECT lang, level + 1, {_PAIRS} FROM floors WHERE len(l) > 1),
+            subroots AS (SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r FROM floors WHERE len(l) = 1),
+            tops(level, l) AS (SELECT 0, list(subroot ORDER BY r) FROM subroots UNION ALL SELECT level + 1, {_PAIRS} FROM tops WHERE len(l) > 1),
+            steps AS (SELECT doc_id, leaf, d.lang, d.r, level, (d.r >> level) % 2 AS odd, coalesce(l[xor(d.r >> level, 1) + 1], '') AS sibling
+                    FROM d JOIN floors f ON d.lang IS NOT DISTINCT FROM f.lang WHERE len(l) > 1
+                UNION ALL SELECT doc_id, leaf, d.lang, d.r, 100 + level, (s.r >> level) % 2, coalesce(l[xor(s.r >> level, 1) + 1], '')
+                    FROM d JOIN subroots s ON d.lang IS NOT DISTINCT FROM s.lang CROSS JOIN tops WHERE len(l) > 1),
+            ways AS (SELECT lang, r, list(odd ORDER BY level) AS odds, list(sibling ORDER BY level) AS siblings, string_agg(sibling, '' ORDER BY level) AS proof FROM steps GROUP BY lang, r),
+            folds(lang, r, k, h) AS (SELECT lang, r, 0, shown FROM d
+                UNION ALL SELECT f.lang, f.r, k + 1, sha256(CASE WHEN odds[k + 1] = 1 THEN siblings[k + 1] || h ELSE h || siblings[k + 1] END)
+                    FROM folds f JOIN ways w ON f.lang IS NOT DISTINCT FROM w.lang AND f.r = w.r WHERE k < len(odds)),
+            root AS (SELECT l[1] AS root FROM tops WHERE len(l) = 1)
+        SELECT d.doc_id, d.leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, h AS folded_root, h = root AS verified
+        FROM d JOIN subroots s ON d.lang IS NOT DISTINCT FROM s.lang CROSS JOIN root LEFT JOIN ways w ON d.lang IS NOT DISTINCT FROM w.lang AND d.r = w.r
+            JOIN folds f ON d.lang IS NOT DISTINCT FROM f.lang AND d.r = f.r AND k = coalesce(len(odds), 0)
+    """,
     "op6_pii": f"""
         WITH {_matches({
             "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
