@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licenses, merkle, order_minhash, packing, pii, secret_ledger, sentencepiece_viterbi, toxicity, vptree
+from . import cover_tree, exact_dedup, langid, licenses, merkle, order_minhash, packing, pii, secret_ledger, sentencepiece_viterbi, toxicity, vptree
 from .common import read
 
 
@@ -49,6 +49,10 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op12_cover_tree(spark, sf_dir):
+    return cover_tree.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle(spark, sf_dir):
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     return merkle.manifest(read(spark, sf_dir, "documents"), tampered=tampered, instead={"n_chars": F.col("n_chars") + 1})
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_cover_tree": op12_cover_tree,
     "op13_merkle": op13_merkle,
 }
 
@@ -102,6 +107,17 @@ _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([
 _PAIRS = "[sha256(list_aggregate(l[2 * i - 1 : 2 * i], 'string_agg', '')) FOR i IN range(1, (len(l) + 1) // 2 + 1)]"
 
 ORACLES = {
+    "op12_cover_tree": """
+        WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            links AS MATERIALIZED (SELECT a.r, b.r AS s, a.vec_id AS vec_id, b.vec_id AS far FROM e a JOIN e b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+            reached(r, far) AS (SELECT r, vec_id FROM e UNION SELECT l.r, c.far FROM links l JOIN reached c ON l.s = c.r),
+            n AS (SELECT r, count(*) AS n_links FROM links GROUP BY r),
+            least AS (SELECT e.vec_id, coalesce(any_value(n_links), 0) AS n_links, min(far) AS component_id FROM e JOIN reached USING (r) LEFT JOIN n USING (r) GROUP BY r, e.vec_id)
+        SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM least
+        UNION ALL SELECT vec_id, 0, vec_id, true FROM embeddings WHERE label IS NULL OR vec_id IS NULL OR embedding IS NULL
+            OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0 OR len(list_filter(embedding, lambda x: x <> 0)) = 0
+    """,
     "op13_merkle": f"""
         WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM (
                 SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS shown FROM documents)),
