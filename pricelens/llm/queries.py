@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import cover_tree, exact_dedup, langid, licenses, merkle, order_minhash, packing, pii, secret_ledger, sentencepiece_viterbi, toxicity, vptree
+from . import cover_tree, dual_tree, exact_dedup, langid, licenses, merkle, order_minhash, packing, pii, secret_ledger, sentencepiece_viterbi, toxicity, vptree
 from .common import read
 
 
@@ -49,6 +49,10 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op11_dual_tree(spark, sf_dir):
+    return dual_tree.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_cover_tree(spark, sf_dir):
     return cover_tree.near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_dual_tree": op11_dual_tree,
     "op12_cover_tree": op12_cover_tree,
     "op13_merkle": op13_merkle,
 }
@@ -106,7 +111,19 @@ _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([
     lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
 _PAIRS = "[sha256(list_aggregate(l[2 * i - 1 : 2 * i], 'string_agg', '')) FOR i IN range(1, (len(l) + 1) // 2 + 1)]"
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLES = {
+    "op11_dual_tree": f"""
+        WITH tf AS (SELECT r, doc_id, t, count(*) AS tf FROM (SELECT r, doc_id, unnest(terms) AS t FROM (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents)) GROUP BY ALL),
+            lengths AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+            whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM lengths),
+            weights AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf CROSS JOIN whole GROUP BY t, docs),
+            asked AS (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+            scores AS (SELECT item_id, r, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+                FROM asked JOIN weights USING (t) JOIN tf USING (t) JOIN lengths USING (r) CROSS JOIN whole GROUP BY item_id, r, doc_id)
+        SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+    """,
     "op12_cover_tree": """
         WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
