@@ -171,6 +171,8 @@ def _upsert(path: str, source: DataFrame, keys: list[str], update_cols: list[str
         replace_table(source, path, partition_col)
         return n
     target = spark.read.parquet(path)
+    if partition_col in target.columns and isinstance(target.schema[partition_col].dataType, T.NullType):  # as all its partitions are of null
+        target = target.withColumn(partition_col, F.col(partition_col).cast(source.schema[partition_col].dataType))
     target = target.select(*[c for c in source.columns if c in target.columns], *[c for c in target.columns if c not in source.columns])
     whole = source.select(*(F.col(c).cast(target.schema[c].dataType).alias(c) if c in source.columns else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns))
     if partition_col is None:

@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import timedelta, timezone
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import queries as Q
+from .functions.scalars import dashed_uuid
 from .operators import baskets, catalogue, cleaning, receipts, similarity
 from .plans import daily, gold, serving
 from .queries import _CATALOGUE, _HISTORY, _MOVES, _PURCHASES, PRICE_OBS, RAW_SQL, RUN, _r6, _weekly, price_obs, r6, t
@@ -19,6 +22,9 @@ from .sources import tables
 from .streaming import events
 
 
+AT_UTC = Q.AT.replace(tzinfo=timezone.utc)
+
+
 def folder(spark: SparkSession) -> str:
     """A folder of this call's own in the shared one; without one only where all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -111,6 +117,37 @@ def streamed_events(spark, sf_dir):
     return valid.select("ticket_id", "user_id", F.lit("").alias("reason")).unionByName(dead.select(F.lit("").alias("ticket_id"), F.lit("").alias("user_id"), "reason"))
 
 
+def ticket_states(spark, sf_dir):
+    """Uploads in two deliveries a day apart and an attempt on a third day: each ticket's state and attempts, its repeats and lines.
+
+    Of the tickets a fifth never get a text, a fifth get one on the second day, and a fifth a blank one.
+    """
+    base, k = folder(spark), F.col("message.messageId").cast("long")
+    uploads, delivery = Q.ticket_events(spark, sf_dir), F.when(k % 500 % 3 == 2, 1).otherwise(F.floor(k / 500) % 2)
+    receipt = "MARCHE BLEU\n3 rue Y\n02/02/2024 10:00\nSAVON DOUX   2,40 €\nTOTAL 2,40"
+    ids = t(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("g")).distinct()
+    known = ids.select("g", dashed_uuid(F.md5(F.col("g").cast("string"))).alias("ticket_id"), F.when(F.col("g") % 5 == 2, " ").otherwise(receipt).alias("text"))
+    day = lambda n: AT_UTC + timedelta(days=n)
+    texts = lambda n: known.where((F.col("g") % 5 > 0) & ((F.col("g") % 5 != 1) | F.lit(n > 0))).select("ticket_id", "text")
+    for n in (0, 1):
+        uploads.where(delivery == n).write.mode("append").json(f"{base}/in")
+        stream = events.run_ticket_stream(tables.stream_ticket_events(spark, f"{base}/in"), lambda n=n: texts(n), f"{base}/out", clock=lambda n=n: day(n))
+        stream.awaitTermination()
+    events.attempt(spark, texts(2), f"{base}/out", day(2))
+    repeats = spark.read.parquet(f"{base}/out/repeats").groupBy("ticket_id").agg(F.count("*").alias("repeats"))
+    lines = spark.read.parquet(f"{base}/out/lines").groupBy("ticket_id").agg(F.count("*").alias("lines"))
+    tickets = spark.read.parquet(f"{base}/out/tickets").join(repeats, "ticket_id", "left").join(lines, "ticket_id", "left")
+    return tickets.select("ticket_id", "status", "attempts", F.coalesce("repeats", F.lit(0)).alias("repeats"), F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
+def ticket_waits(spark, sf_dir):
+    """Clicks as claims and purchases of the same user as texts: each claim with what came within the hour, or timed out."""
+    ev = t(spark, sf_dir, "events")
+    claims = ev.where("event_type = 'click'").select(F.col("user_id").alias("ticket_id"), F.col("ts").alias("claimed_at"), "event_id")
+    texts = ev.where("event_type = 'purchase'").select(F.col("user_id").alias("ticket_id"), F.col("event_id").cast("string").alias("text"), F.col("ts").alias("read_at"))
+    return events.awaited(claims, texts, "6 hours").select("event_id", "text")
+
+
 def json_rows(spark, sf_dir):
     rows = t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("priority"), (F.col("o_custkey") > 100).alias("late"))
     return tables.json_rows(rows)
@@ -270,7 +307,7 @@ def json_receipts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        partition_replace, upsert_prices, upsert_lines, upsert_aliases, upsert_catalogue, snapshot_archive, stored_documents, streamed_events, json_rows, gold_counts, gold_default_medians, alert_report_stored, daily_run, catalogue_delta, dead_letters, clean_metadata,
+        partition_replace, upsert_prices, upsert_lines, upsert_aliases, upsert_catalogue, snapshot_archive, stored_documents, streamed_events, ticket_states, ticket_waits, json_rows, gold_counts, gold_default_medians, alert_report_stored, daily_run, catalogue_delta, dead_letters, clean_metadata,
         rejection_records, rejection_metrics, brand_increases, index_points, personal_alerts, resolve_lines, substitute_states, substitutes_recall, json_receipts,
     )
 }
@@ -288,6 +325,12 @@ ORACLES = {
     "snapshot_archive": f"""WITH {RAW_SQL} SELECT 'read' AS what, count(*) AS n, count(DISTINCT id) AS ids, count(full_price) AS full_prices, CAST(max(l_shipdate) AS DATE) AS last FROM raw UNION ALL SELECT 'absent', 0, 0, 0, NULL""",
     "stored_documents": Q.ORACLES["shape_catalogue"],
     "streamed_events": Q.ORACLES["ticket_events_decoded"],
+    "ticket_states": f"""WITH v AS (SELECT event_id % 500 AS g, CASE WHEN event_id % 500 % 3 = 2 THEN 1 ELSE event_id // 500 % 2 END AS n FROM events WHERE event_id % 17 > 0 AND event_id % 13 > 0 AND event_id % 11 > 0),
+        k AS (SELECT g, md5(cast(g AS VARCHAR)) AS m, min(n) AS n, count(*) - 1 AS repeats FROM v GROUP BY g)
+        SELECT {Q._PLAIN} AS ticket_id, CASE g % 5 WHEN 0 THEN 'processing' WHEN 2 THEN 'failed' ELSE 'done' END AS status,
+            CAST(CASE WHEN g % 5 = 0 THEN 3 - n WHEN g % 5 = 1 THEN 2 - n ELSE 1 END AS INT) AS attempts, repeats, CASE WHEN g % 5 IN (0, 2) THEN 0 ELSE 1 END AS lines FROM k""",
+    "ticket_waits": """SELECT c.event_id, cast(x.event_id AS VARCHAR) AS text FROM (SELECT * FROM events WHERE event_type = 'click') c
+        LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') x ON c.user_id = x.user_id AND x.ts BETWEEN c.ts AND c.ts + INTERVAL 6 HOURS""",
     "json_rows": "SELECT to_json({'o_orderkey': o_orderkey, 'day': CAST(o_orderdate AS DATE), 'priority': CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END, 'late': o_custkey > 100})::VARCHAR AS json FROM orders",
     "gold_counts": " UNION ALL ".join(
         f"SELECT '{name}' AS name, count(*) AS n, count(*) AS stored FROM ({sql})"

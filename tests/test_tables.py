@@ -1,4 +1,3 @@
-import base64
 import datetime
 import json
 
@@ -7,7 +6,6 @@ from pyspark.sql import functions as F
 
 from pricelens.plans import gold
 from pricelens.sources import tables
-from pricelens.streaming import events
 
 
 def test_upsert_moves_partitions_and_repeats(spark, tmp_path):
@@ -47,24 +45,3 @@ def test_gold_windows(spark):
     assert [r.week_start_date for r in gold.price_anomalies(prices, weeks=None).collect()] == [week(12)]
     report = json.loads(gold.alert_report(gold.product_rankings(prices, weeks=None), gold.price_anomalies(prices, weeks=None), week(12)).first().report)
     assert report["counts"] == {"rankings": len(report["rankings"]), "anomalies": 1} and report["rankings"][0]["product_code"] == "p"
-
-
-def envelope(name, mid, data=None):
-    body = base64.b64encode(json.dumps({"bucket": "b", "name": name}).encode()).decode() if data is None else data
-    return json.dumps({"message": {"attributes": {"eventType": "OBJECT_FINALIZE"}, "data": body, "messageId": mid, "publishTime": "2026-05-17T03:00:00Z"}, "subscription": "s"})
-
-
-def test_ticket_stream(spark, tmp_path):
-    hexed, dashed = "550e8400e29b41d4a716446655440000", "550e8400-e29b-41d4-a716-446655440000"
-    inbox = tmp_path / "in"
-    inbox.mkdir()
-    (inbox / "1.json").write_text("\n".join([envelope(f"tickets/raw/u1/{hexed}.jpg", "1"), envelope(f"tickets/raw/u1/{hexed}.jpg", "2"), envelope("", "3", "%%"), envelope("tickets/raw/u1/bad.jpg", "4"), envelope("other/x", "5")]))
-    texts = lambda: spark.createDataFrame([(dashed, "LIDL\n12 rue X\n15/03/2024 14:30\nPAIN COMPLET   1,20 €\nTOTAL 1,20")], "ticket_id string, text string")
-    base = str(tmp_path / "out")
-    for _ in range(2):
-        query = events.run_ticket_stream(tables.stream_ticket_events(spark, str(inbox)), texts, base)
-        query.awaitTermination(120)
-        assert query.exception() is None
-        assert rows(spark.read.parquet(f"{base}/tickets").select("ticket_id", "status", "enseigne")) == [(dashed, "done", "LIDL")]
-        assert rows(spark.read.parquet(f"{base}/lines").select("raw_text")) == [("PAIN COMPLET",)]
-    assert spark.read.parquet(f"{base}/dead").count() == 2
