@@ -148,6 +148,37 @@ def ticket_waits(spark, sf_dir):
     return events.awaited(claims, texts, "6 hours").select("event_id", "text")
 
 
+def clustered_products(spark, sf_dir):
+    """The order lines as products with vectors: three for each line, in 20 categories of 40 clusters each, in 12 dimensions."""
+    number = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4 + F.col("j")
+    li = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("j"))
+    group, cluster = F.col("l_partkey") % 20, F.floor(F.col("l_partkey") / 20) % 40
+    wave = lambda seed, i: F.sin(F.pmod(F.xxhash64(*seed, F.lit(i)), F.lit(1_000_003)))
+    v = F.array(*(wave((group, cluster), i) + 0.2 * wave((number,), 100 + i) for i in range(12)))
+    return li.select(number.alias("key"), group.alias("category"), v.alias("embedding")).dropDuplicates(["key"])
+
+
+def substitutes_ivf_recall(spark, sf_dir):
+    """Substitutes by an inverted file for every twentieth product against all: recall at 5 is 0.9 or more with less than a fifth of the pairs."""
+    products = clustered_products(spark, sf_dir).persist()
+    asked = products.where("key % 20 = 0").select("key")
+    near, held = (df.persist() for df in similarity.probed(products, "key", "category", "embedding", asked))
+    pairs = near.groupBy("c0", "cell").agg(F.count("*").alias("a")).join(held.groupBy("c0", "cell").agg(F.count("*").alias("b")), ["c0", "cell"]).agg(F.sum(F.col("a") * F.col("b")).alias("compared"))
+    sizes = products.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("key") % 20 == 0).alias("asked")).agg(F.sum(F.col("n") * F.col("asked")).alias("all"), F.sum("asked").alias("asked"))
+    more = {"key": "key", "category": "category", "asked": asked}
+    got = similarity.recall(similarity.substitutes_ivf(products, **more, made=(near, held)), similarity.substitutes(products, **more), key="key")
+    whole = got.crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(sizes))  # three rows of one
+    return whole.select("asked", F.col("pairs").alias("wanted"), (F.col("recall") >= 0.9).alias("recall_ok"), (F.col("compared") < 0.2 * F.col("all")).alias("share_ok"))
+
+
+def substitutes_ivf(spark, sf_dir):
+    """On the given vectors, which have no clusters: how many products have substitutes, and that recall at 5 is no less than a half."""
+    vectors = Q._vectors(spark, sf_dir)
+    more = {"key": "vec_id", "category": "label"}
+    got = similarity.recall(similarity.substitutes_ivf(vectors, **more), similarity.substitutes(vectors, **more), key="vec_id")
+    return got.select(F.col("pairs").alias("wanted"), (F.col("recall") >= 0.5).alias("recall_ok"))
+
+
 def json_rows(spark, sf_dir):
     rows = t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("priority"), (F.col("o_custkey") > 100).alias("late"))
     return tables.json_rows(rows)
@@ -307,7 +338,7 @@ def json_receipts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        partition_replace, upsert_prices, upsert_lines, upsert_aliases, upsert_catalogue, snapshot_archive, stored_documents, streamed_events, ticket_states, ticket_waits, json_rows, gold_counts, gold_default_medians, alert_report_stored, daily_run, catalogue_delta, dead_letters, clean_metadata,
+        partition_replace, upsert_prices, upsert_lines, upsert_aliases, upsert_catalogue, snapshot_archive, stored_documents, streamed_events, substitutes_ivf_recall, substitutes_ivf, ticket_states, ticket_waits, json_rows, gold_counts, gold_default_medians, alert_report_stored, daily_run, catalogue_delta, dead_letters, clean_metadata,
         rejection_records, rejection_metrics, brand_increases, index_points, personal_alerts, resolve_lines, substitute_states, substitutes_recall, json_receipts,
     )
 }
@@ -325,6 +356,9 @@ ORACLES = {
     "snapshot_archive": f"""WITH {RAW_SQL} SELECT 'read' AS what, count(*) AS n, count(DISTINCT id) AS ids, count(full_price) AS full_prices, CAST(max(l_shipdate) AS DATE) AS last FROM raw UNION ALL SELECT 'absent', 0, 0, 0, NULL""",
     "stored_documents": Q.ORACLES["shape_catalogue"],
     "streamed_events": Q.ORACLES["ticket_events_decoded"],
+    "substitutes_ivf_recall": """WITH k AS (SELECT DISTINCT (l_orderkey * 8 + l_linenumber) * 4 + j AS key FROM lineitem CROSS JOIN (VALUES (0), (1), (2)) x(j))
+        SELECT count(*) AS asked, 5 * count(*) AS wanted, true AS recall_ok, true AS share_ok FROM k WHERE key % 20 = 0""",
+    "substitutes_ivf": "SELECT sum(n * least(5, n - 1))::BIGINT AS wanted, true AS recall_ok FROM (SELECT count(*) AS n FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL GROUP BY label)",
     "ticket_states": f"""WITH v AS (SELECT event_id % 500 AS g, CASE WHEN event_id % 500 % 3 = 2 THEN 1 ELSE event_id // 500 % 2 END AS n FROM events WHERE event_id % 17 > 0 AND event_id % 13 > 0 AND event_id % 11 > 0),
         k AS (SELECT g, md5(cast(g AS VARCHAR)) AS m, min(n) AS n, count(*) - 1 AS repeats FROM v GROUP BY g)
         SELECT {Q._PLAIN} AS ticket_id, CASE g % 5 WHEN 0 THEN 'processing' WHEN 2 THEN 'failed' ELSE 'done' END AS status,
