@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grams import spelt_alike
+
 
 def basket_history(lines: DataFrame, run_date: date, months: int = 6) -> DataFrame:
     """user_id, ean, purchase_count_6m, avg_quantity, last_purchased_at over the ``months`` up to the run date.
@@ -40,6 +42,21 @@ def personal_index(obs: DataFrame, history: DataFrame, min_purchases: int = 2, *
     return laspeyres(obs.join(usual, ["user_id", "product_code"], "left_semi"), ["user_id"], **more)
 
 
+def rolling_index(obs: DataFrame, months: int = 6, user: str = "user_id", product: str = "product_code", period: str = "period", price: str = "price", quantity: str = "quantity") -> DataFrame:
+    """user, period, variation, value, sample_size: what a user's basket costs against the time before, and the chain of it on a base of 100.
+
+    The basket of a period (a month or longer, as its first day) is what the user bought in the ``months`` before it, and moves with it. Its products that are bought in the period
+    as well are valued at their prices then and at those of their last purchase before. A period without such a product has no row.
+    """
+    cells = obs.groupBy(user, product, period).agg(F.avg(price).alias("p"), F.sum(quantity).alias("q"))
+    before = f"OVER (PARTITION BY {user}, {product} ORDER BY {period} RANGE BETWEEN INTERVAL {months} MONTHS PRECEDING AND INTERVAL 1 MONTHS PRECEDING)"
+    moved = cells.withColumns({"q0": F.expr(f"sum(q) {before}"), "p0": F.expr(f"last_value(p) {before}")}).where("q0 > 0 and p0 is not null")
+    ratio = F.try_divide(F.sum(F.col("p") * F.col("q0")), F.sum(F.col("p0") * F.col("q0")))
+    steps = moved.groupBy(user, period).agg(ratio.alias("variation"), F.count("*").alias("sample_size")).where("variation > 0")
+    chained = F.exp(F.sum(F.ln("variation")).over(Window.partitionBy(user).orderBy(period))) * 100
+    return steps.withColumn("value", chained).select(user, period, "variation", "value", "sample_size")
+
+
 def index_series(series: DataFrame, scope: list[str], period: str = "period") -> DataFrame:
     """scope, base_period, current, series: points by period with a value, the first row's period, and the last point's value."""
     points = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct(F.col(period).alias("date"), "value", "sample_size"))))
@@ -84,17 +101,17 @@ def resolve_products(lines: DataFrame, aliases: DataFrame, catalogue: DataFrame,
     """``lines`` (ticket_id, line_index, raw_text, enseigne) with ean, match_method and match_confidence.
 
     An alias of the same text and store comes first, then one of any store; validated aliases before others, then by confidence.
-    Otherwise the catalogue name with the same first word and the nearest spelling, if near enough; else method ``none``.
+    Otherwise the catalogue name with the nearest spelling, if near enough, whichever word is misread; else method ``none``.
     """
     a = aliases.select(F.col("raw_text"), F.coalesce("enseigne", F.lit("")).alias("__store"), F.struct(F.coalesce("validated_by_user", F.lit(False)).alias("validated"), F.coalesce("confidence", F.lit(0.0)).cast("double").alias("confidence"), "ean").alias("__alias"))
     exact = a.groupBy("raw_text", "__store").agg(F.max("__alias").alias("__own"))
     loose = a.groupBy("raw_text").agg(F.max("__alias").alias("__any"))
     keyed = lines.withColumn("__store", F.coalesce("enseigne", F.lit("")))
     known = keyed.join(exact, ["raw_text", "__store"], "left").join(loose, "raw_text", "left").withColumn("__hit", F.coalesce("__own", "__any"))
-    texts = known.where("__hit is null").select("raw_text").distinct().select("raw_text", normal_text(F.col("raw_text")).alias("__n")).withColumn("__first", F.substring_index("__n", " ", 1))
-    names = catalogue.where("produit_nom is not null").select(F.col("ean").alias("__ean"), normal_text(F.col("produit_nom")).alias("__m")).withColumn("__first", F.substring_index("__m", " ", 1))
-    near = 1 - F.levenshtein("__n", "__m") / F.greatest(F.length("__n"), F.length("__m"), F.lit(1))
-    fuzzy = texts.join(names, "__first").where(near >= min_similarity).groupBy("raw_text").agg(F.max_by(F.struct("__ean", near.alias("s")), F.struct(near.alias("s"), "__ean")).alias("__fuzzy"))
+    texts = known.where("__hit is null").select("raw_text").distinct().select("raw_text", normal_text(F.col("raw_text")).alias("__n"))
+    names = catalogue.where("produit_nom is not null").select(F.col("ean").alias("key"), normal_text(F.col("produit_nom")).alias("name"))
+    alike = spelt_alike(texts.select(F.col("__n").alias("text")), names, min_similarity)
+    fuzzy = texts.join(alike, F.col("__n") == F.col("text")).select("raw_text", F.struct(F.col("key").alias("__ean"), F.col("similarity").alias("s")).alias("__fuzzy"))
     return known.join(fuzzy, "raw_text", "left").select(
         *lines.columns,
         F.coalesce(F.col("__hit.ean"), F.col("__fuzzy.__ean")).alias("ean"),

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BRAND_KEYS, PRODUCT_KEYS, SERIES_KEYS = ("store_brand_normalized", "country_code"), ("product_code",), ("product_code", "store_brand_normalized")
+
+
 def window_start(run_date: date, weeks: int) -> date:
     return run_date - timedelta(days=7 * weeks)
 
@@ -47,7 +50,7 @@ def weekly_medians(prices: DataFrame, keys: list[str], run_date=None, weeks=None
 
 def brand_week_aggregates(prices: DataFrame, run_date: date | None = None, weeks: int | None = 12, min_obs: int = 3, exact: bool = False) -> DataFrame:
     """Observations, mean and median by week, brand and country."""
-    return weekly_medians(prices, ["store_brand_normalized", "country_code"], run_date, weeks, min_obs, exact)
+    return weekly_medians(prices, list(BRAND_KEYS), run_date, weeks, min_obs, exact)
 
 
 def index_on_base(medians: DataFrame, keys: list[str], value: str = "median_price_eur") -> DataFrame:
@@ -58,8 +61,11 @@ def index_on_base(medians: DataFrame, keys: list[str], value: str = "median_pric
 
 def brand_week_index(prices: DataFrame, run_date: date | None = None, weeks: int | None = 12, min_obs: int = 3, exact: bool = False) -> DataFrame:
     """Weekly medians of a brand and country, on the base of its first week in the window."""
-    medians = brand_week_aggregates(prices, run_date, weeks, min_obs, exact).drop("avg_price_eur")
-    return index_on_base(medians, ["store_brand_normalized", "country_code"])
+    return index_of(brand_week_aggregates(prices, run_date, weeks, min_obs, exact))
+
+
+def index_of(aggregates: DataFrame) -> DataFrame:
+    return index_on_base(aggregates.drop("avg_price_eur"), list(BRAND_KEYS))
 
 
 def product_rankings(
@@ -69,7 +75,11 @@ def product_rankings(
 
     Over all weeks of the window; ties by week, then product. ``top_n=None`` gives all changes, in no order.
     """
-    medians = weekly_medians(prices, ["product_code"], run_date, weeks, min_obs, exact)
+    return ranked_moves(weekly_medians(prices, list(PRODUCT_KEYS), run_date, weeks, min_obs, exact), top_n)
+
+
+def ranked_moves(medians: DataFrame, top_n: int | None = 500) -> DataFrame:
+    """The changes of weekly medians of products, the largest first; all of them in no order without ``top_n``."""
     before = F.lag("median_price_eur").over(Window.partitionBy("product_code").orderBy("week_start_date"))
     moves = (
         medians.withColumn("prev_median", before)
@@ -89,9 +99,13 @@ def price_anomalies(
 
     A score over n weeks can't exceed sqrt(n - 1), so with 8 weeks a threshold of 3 finds nothing.
     """
+    return scored_series(weekly_medians(prices, list(keys), run_date, weeks, min_obs, exact), z, keys)
+
+
+def scored_series(medians: DataFrame, z: float = 3.0, keys: tuple[str, ...] = ("product_code", "store_brand_normalized")) -> DataFrame:
+    """Weekly medians that lie ``z`` standard deviations or more from the mean of their series."""
     series = Window.partitionBy(*keys)
-    medians = weekly_medians(prices, list(keys), run_date, weeks, min_obs, exact).drop("avg_price_eur")
-    scored = medians.withColumns({"mean_med": F.avg("median_price_eur").over(series), "std_med": F.stddev_pop("median_price_eur").over(series)})
+    scored = medians.drop("avg_price_eur").withColumns({"mean_med": F.avg("median_price_eur").over(series), "std_med": F.stddev_pop("median_price_eur").over(series)})
     return scored.where("std_med > 0").withColumn("z_score", (F.col("median_price_eur") - F.col("mean_med")) / F.col("std_med")).where(F.abs("z_score") >= z)
 
 
@@ -131,3 +145,26 @@ def gold_tables(prices: DataFrame, run_date: date, **more) -> dict[str, DataFram
         "product_rankings": product_rankings(prices, run_date, **more),
         "price_anomalies": price_anomalies(prices, run_date, **more),
     }
+
+
+#: Weekly states that are kept by week, with their keys: all gold tables follow from them.
+WEEKLY = {"weekly_brands": BRAND_KEYS, "weekly_products": PRODUCT_KEYS, "weekly_series": SERIES_KEYS}
+
+
+def weekly_states(prices: DataFrame, min_obs: int = 3, exact: bool = False) -> dict[str, DataFrame]:
+    """Observations, mean and median of each week by the three sets of keys."""
+    return {name: weekly_medians(prices, list(keys), min_obs=min_obs, exact=exact) for name, keys in WEEKLY.items()}
+
+
+def gold_of_weeks(states: dict[str, DataFrame], run_date: date, weeks: int | None = 12, recent: int | None = 8, top_n: int | None = 500, z: float = 3.0) -> dict[str, DataFrame]:
+    """The four gold tables from weekly states: what ``gold_tables`` makes of the prices themselves."""
+
+    def since(name: str, n: int | None) -> DataFrame:
+        return states[name] if n is None else states[name].where(F.col("week_start_date") >= F.lit(window_start(run_date, n)))
+
+    return {
+        "brand_week_aggregates": since("weekly_brands", weeks),
+        "brand_week_index": index_of(since("weekly_brands", weeks)),
+        "product_rankings": ranked_moves(since("weekly_products", recent), top_n),
+        "price_anomalies": scored_series(since("weekly_series", recent), z),
+    }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import products as P
 from .functions import scalars as S
-from .operators import baskets, catalogue, cleaning, receipts, similarity
+from .operators import baskets, catalogue, cleaning, grams, receipts, similarity
 from .plans import gold, serving
 from .streaming import events
 
@@ -427,6 +427,29 @@ def personal_index(spark, sf_dir):
     return baskets.personal_index(bought, baskets.basket_history(bought, RUN, months=120)).withColumn("value", r6("value"))
 
 
+def rolling_index(spark, sf_dir):
+    made = baskets.rolling_index(purchases(spark, sf_dir), months=24)
+    return made.withColumns({"variation": r6("variation"), "value": F.floor(F.col("value") * 1e4 + 0.4999) / 1e4})
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand texts that are parts of product names and of suppliers' names, and some that are in none."""
+    names = t(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("n"), F.col("p_partkey").alias("k"))
+    return names.select(F.substring("n", (F.col("k") % 9 + 1).cast("int"), (F.col("k") % 7 + 1).cast("int")).alias("q")).distinct()
+
+
+def search_many(spark, sf_dir):
+    named = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("ean"), F.concat_ws(" ", "p_name", "p_type").alias("produit_nom"), F.col("p_brand").alias("brand"), (F.col("p_partkey") % 7 != 0).alias("off_found"))
+    return grams.search_many(named, _asked(spark, sf_dir), limit=5)
+
+
+def names_alike(spark, sf_dir):
+    """Product names with their first letter, and every third also with another in the midst, misread: the name that each is most like."""
+    named = t(spark, sf_dir, "part").select(F.concat_ws(" ", F.lower("p_name"), F.lower("p_type"), F.col("p_size").cast("string")).alias("name"), F.col("p_partkey").alias("key"))
+    misread = F.concat(F.lit("0"), F.substring("name", 2, 5), F.when(F.col("key") % 3 == 0, "1").otherwise(F.substring("name", 7, 1)), F.expr("substring(name, 8)"))
+    return grams.spelt_alike(named.select(misread.alias("text")), named).select("text", "key", r6("similarity").alias("similarity"))
+
+
 def index_series(spark, sf_dir):
     made = baskets.index_series(baskets.laspeyres(purchases(spark, sf_dir), ["enseigne"]), ["enseigne"])
     return made.select("enseigne", "base_period", r6("current").alias("current"), F.size("series").cast("long").alias("points"))
@@ -520,6 +543,16 @@ SERVING_SQL |= {
     "laspeyres_national": f"WITH {_PURCHASES}, bought AS (FROM purchases), {_laspeyres('')} SELECT period, {_r6('value')} AS value, sample_size FROM ix",
     "laspeyres_regional": f"WITH {_PURCHASES}, bought AS (FROM purchases), {_laspeyres('enseigne')} SELECT enseigne, period, {_r6('value')} AS value, sample_size FROM ix",
     "personal_index": f"WITH {_PURCHASES}, {_HISTORY}, bought AS (SELECT p.* FROM purchases p SEMI JOIN (FROM history WHERE purchase_count_6m >= 2) h USING (user_id, ean)), {_laspeyres('user_id')} SELECT user_id, period, {_r6('value')} AS value, sample_size FROM ix",
+    "rolling_index": f"""WITH {_PURCHASES}, c AS (SELECT user_id, ean, period, avg(price) AS p, sum(quantity) AS q FROM purchases GROUP BY ALL),
+        m AS (SELECT *, sum(q) OVER w AS q0, last_value(p) OVER w AS p0 FROM c WINDOW w AS (PARTITION BY user_id, ean ORDER BY period RANGE BETWEEN INTERVAL 24 MONTHS PRECEDING AND INTERVAL 1 MONTH PRECEDING)),
+        s AS (SELECT user_id, period, sum(p * q0) / sum(p0 * q0) AS v, count(*) AS sample_size FROM m WHERE q0 > 0 AND p0 IS NOT NULL GROUP BY ALL)
+        SELECT user_id, period, {_r6('v')} AS variation, floor(exp(sum(ln(v)) OVER (PARTITION BY user_id ORDER BY period)) * 100 * 1e4 + 0.4999) / 1e4 AS value, sample_size FROM s WHERE v > 0""",
+    "search_many": """WITH p AS (SELECT p_partkey AS k, p_name || ' ' || p_type AS n, p_brand AS b FROM part), q AS (SELECT DISTINCT substr(n, k % 9 + 1, k % 7 + 1) AS q FROM p)
+        SELECT q, CAST(rank AS INT) AS rank, k AS ean, n AS produit_nom FROM (SELECT q, k, n, row_number() OVER (PARTITION BY q ORDER BY n, k) AS rank FROM q JOIN p ON contains(lower(n), lower(q)) OR contains(lower(b), lower(q)) WHERE k % 7 <> 0 AND q <> '') WHERE rank <= 5""",
+    "names_alike": f"""WITH p AS (SELECT p_partkey AS k, lower(p_name) || ' ' || lower(p_type) || ' ' || p_size AS n FROM part),
+        a AS (SELECT DISTINCT '0' || substr(n, 2, 5) || CASE WHEN k % 3 = 0 THEN '1' ELSE substr(n, 7, 1) END || substr(n, 8) AS text FROM p),
+        d AS (SELECT text, k, 1 - levenshtein(text, n)::DOUBLE / greatest(length(text), length(n)) AS s FROM a JOIN p ON true)
+        SELECT text, k AS key, {_r6('s')} AS similarity FROM d WHERE s >= 0.75 QUALIFY row_number() OVER (PARTITION BY text ORDER BY s DESC, k DESC) = 1""",
     "index_series": f"WITH {_PURCHASES}, bought AS (FROM purchases), {_laspeyres('enseigne')} SELECT enseigne, min(period) AS base_period, {_r6('max_by(value, period)')} AS current, count(*) AS points FROM ix GROUP BY 1",
     "regional_map": f"WITH {_PURCHASES}, bought AS (FROM purchases), {_laspeyres('enseigne')} SELECT enseigne, {_r6('value')} AS inflation_pct, sample_size, cast(period AS VARCHAR) AS period FROM ix WHERE period = (SELECT max(period) FROM ix)",
 }
@@ -584,7 +617,7 @@ QUERIES = {
         brand_week_aggregates, brand_week_aggregates_recent, brand_week_index, product_rankings, price_anomalies, price_anomalies_by_brand, alert_rankings, alert_anomalies, alert_report, transform_prices,
         rejections_by_reason, run_metrics, iqr_outliers, price_range_filter, dedup_first, distinct_barcodes, barcode_check, barcode_normal, price_parse, date_parse, country_infer, brand_canonical, city_title, discount_check,
         quantity_parse, department, undiscovered_products, stale_products, catalogue_search, catalogue_lookup, shape_catalogue, initial_catalogue, comparable_groups, substitutes_topk, substitutes_gated, substitutes_lsh,
-        basket_history, laspeyres_national, laspeyres_regional, personal_index, index_series, regional_map, cheapest_store, brand_stats, rankings_view, hall_of_shame, ticket_detail, ticket_page,
+        basket_history, laspeyres_national, laspeyres_regional, personal_index, rolling_index, search_many, names_alike, index_series, regional_map, cheapest_store, brand_stats, rankings_view, hall_of_shame, ticket_detail, ticket_page,
         apply_corrections, resolve_products, receipt_tickets, receipt_lines, receipt_texts, ticket_events_decoded,
     )
 }

@@ -92,6 +92,17 @@ def replace_partition(path: str, df: DataFrame, col: str, value) -> None:
     df.drop(col).write.mode("overwrite").parquet(f"{path}/{col}={value}")
 
 
+def replace_partitions(path: str, df: DataFrame, col: str, values: list) -> None:
+    """Make ``df`` the rows of the partitions ``values`` of the table at ``path``; those it has no rows for go, all others stay."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(col).parquet(path)
+    held = {r[0] for r in df.select(col).distinct().collect()}  # of the partitions asked for
+    for value in values:
+        if value not in held and exists(spark, f"{path}/{col}={value}"):
+            fs, at = _path(spark, f"{path}/{col}={value}")
+            fs.delete(at, True)
+
+
 def refresh(tables: dict[str, DataFrame], base: str) -> dict[str, int]:
     """Overwrite each table under ``base`` in the given order; the rows written, counted while writing."""
     from pyspark.sql import Observation
@@ -145,21 +156,21 @@ def merged(target: DataFrame, source: DataFrame, keys: list[str], update_cols: l
 
 
 def upsert(
-    path: str, source: DataFrame, keys: list[str], update_cols: list[str] | None = None, keep_if_null: tuple[str, ...] = (), partition_col: str | None = None
+    path: str, source: DataFrame, keys: list[str], update_cols: list[str] | None = None, keep_if_null: tuple[str, ...] = (), partition_col: str | None = None, changed: list | None = None
 ) -> int:
     """Merge ``source`` into the table at ``path``; the number of source rows. An empty source changes nothing.
 
     With ``partition_col`` only partitions that hold a key of the source, or get one, are rewritten; a key may move between them.
-    Repeating an upsert changes nothing.
+    Repeating an upsert changes nothing. ``changed`` gets the values of the partitions that were rewritten.
     """
     source = source.persist()  # it is counted, checked and merged
     try:
-        return _upsert(path, source, keys, update_cols, keep_if_null, partition_col)
+        return _upsert(path, source, keys, update_cols, keep_if_null, partition_col, [] if changed is None else changed)
     finally:
         source.unpersist()
 
 
-def _upsert(path: str, source: DataFrame, keys: list[str], update_cols: list[str] | None, keep_if_null: tuple[str, ...], partition_col: str | None) -> int:
+def _upsert(path: str, source: DataFrame, keys: list[str], update_cols: list[str] | None, keep_if_null: tuple[str, ...], partition_col: str | None, changed: list) -> int:
     spark = source.sparkSession
     seen = source.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
     n = seen["rows"] or 0
@@ -169,6 +180,7 @@ def _upsert(path: str, source: DataFrame, keys: list[str], update_cols: list[str
         raise ValueError(f"the source holds a key of {keys} more than once")
     if not exists(spark, path):
         replace_table(source, path, partition_col)
+        changed += [r[0] for r in source.select(partition_col).distinct().collect()] if partition_col else []
         return n
     target = spark.read.parquet(path)
     if partition_col in target.columns and isinstance(target.schema[partition_col].dataType, T.NullType):  # as all its partitions are of null
@@ -181,6 +193,7 @@ def _upsert(path: str, source: DataFrame, keys: list[str], update_cols: list[str
     same = [target[k].eqNullSafe(whole[k]) for k in keys]
     touched = target.join(whole, same, "left_semi").select(partition_col).union(whole.select(partition_col)).distinct()
     values = [r[0] for r in touched.collect()]  # partitions of a table, of which there is one for each day
+    changed += values
     affected = target.where(F.col(partition_col).isin([v for v in values if v is not None]) | (F.col(partition_col).isNull() if None in values else F.lit(False)))
     fresh = f"{path}.new-{uuid.uuid4().hex}"
     out = merged(affected, whole, keys, update_cols, keep_if_null)

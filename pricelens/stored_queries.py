@@ -226,6 +226,24 @@ def daily_run(spark, sf_dir):
     return spark.createDataFrame(list(counts.items()), "name string, n long")
 
 
+def daily_weeks(spark, sf_dir):
+    """Five days of snapshots taken in by change: the gold tables equal those of a rebuild from all prices, and how many rows they have."""
+    base, raw = folder(spark), Q.raw_snapshot(spark, sf_dir)
+    day = F.date_add(F.lit(Q.LAST), F.pmod(F.substring_index(F.col("id"), "-", 1).try_cast("int"), F.lit(5)))
+    raw.withColumn("dt", F.coalesce(day, F.lit(Q.LAST))).write.partitionBy("dt").parquet(f"{base}/archive")
+    rules = cleaning.CleanConfig(reference_date=Q.LAST)
+    daily.follow(spark, f"{base}/archive", f"{base}/out", raw.schema, Q.AT, config=rules, order=[F.col("seen")], exact=True, weeks=None, recent=None, top_n=None, z=2.0).awaitTermination()
+    prices = spark.read.parquet(f"{base}/out/prices")
+    whole = gold.gold_of_weeks(gold.weekly_states(prices, exact=True), Q.LAST, weeks=None, recent=None, top_n=None, z=2.0)
+    out = prices.agg(F.lit("prices").alias("name"), F.count("*").alias("n"), F.lit(True).alias("same"))
+    for name, made in whole.items():
+        exact = [r6(c).alias(c) if c in ("avg_price_eur", "index_value", "pct_change", "mean_med", "std_med", "z_score") else F.col(c) for c in made.columns]
+        kept, made = spark.read.schema(made.schema).parquet(f"{base}/out/gold/{name}").select(*exact), made.select(*exact)
+        apart = kept.exceptAll(made).unionByName(made.exceptAll(kept)).agg(F.count("*").alias("apart"))
+        out = out.unionByName(kept.agg(F.count("*").alias("n")).crossJoin(F.broadcast(apart)).select(F.lit(name).alias("name"), "n", (F.col("apart") == 0).alias("same")))
+    return out
+
+
 def catalogue_delta(spark, sf_dir):
     """A day's export against the catalogue: every fifth document has a new brand, and some products are not stored yet."""
     documents = Q.product_documents(spark, sf_dir)
@@ -338,7 +356,7 @@ def json_receipts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        partition_replace, upsert_prices, upsert_lines, upsert_aliases, upsert_catalogue, snapshot_archive, stored_documents, streamed_events, substitutes_ivf_recall, substitutes_ivf, ticket_states, ticket_waits, json_rows, gold_counts, gold_default_medians, alert_report_stored, daily_run, catalogue_delta, dead_letters, clean_metadata,
+        partition_replace, upsert_prices, upsert_lines, upsert_aliases, upsert_catalogue, snapshot_archive, stored_documents, streamed_events, substitutes_ivf_recall, substitutes_ivf, ticket_states, ticket_waits, json_rows, gold_counts, gold_default_medians, alert_report_stored, daily_run, daily_weeks, catalogue_delta, dead_letters, clean_metadata,
         rejection_records, rejection_metrics, brand_increases, index_points, personal_alerts, resolve_lines, substitute_states, substitutes_recall, json_receipts,
     )
 }
@@ -383,6 +401,14 @@ ORACLES = {
         UNION ALL SELECT 'brand_week_index', count(*) FROM b UNION ALL SELECT 'product_rankings', least(count(*), 500) FROM moves WHERE before > 0 UNION ALL SELECT 'price_anomalies', count(*) FROM a WHERE s > 0 AND abs((m - x) / s) >= 3 UNION ALL SELECT 'reports', 1""",
     "catalogue_delta": """SELECT cast(p_partkey AS VARCHAR) AS ean, CASE WHEN p_partkey % 9 <> 0 THEN CASE WHEN p_partkey % 5 = 0 THEN 'Other brand' ELSE p_brand END END AS brand, p_partkey % 9 <> 0 AS off_found FROM part
         WHERE CASE WHEN p_partkey % 7 = 0 THEN p_partkey % 2 = 0 ELSE p_partkey % 5 = 0 AND p_partkey % 9 <> 0 END""",
+    "daily_weeks": f"""WITH {RAW_SQL.replace("SELECT product_code AS pc,", "SELECT product_code AS pc, l_orderkey % 5 AS pd,").replace("GROUP BY 1 HAVING count(*) >= 5", "GROUP BY 1, 2 HAVING count(*) >= 5").replace("ON product_code = pc", "ON product_code = pc AND l_orderkey % 5 = pd")},
+        p AS (SELECT CAST(date_trunc('week', CAST(l_shipdate AS DATE)) AS DATE) AS w, product_code AS c, price, iqr_outlier AS o FROM flagged),
+        b AS (SELECT w FROM p WHERE NOT o GROUP BY w HAVING count(*) >= 3),
+        m AS (SELECT w, c, quantile_disc(price, 0.5) AS m FROM p WHERE NOT o GROUP BY w, c HAVING count(*) >= 3),
+        z AS (SELECT m, avg(m) OVER (PARTITION BY c) AS a, stddev_pop(m) OVER (PARTITION BY c) AS s FROM m)
+        SELECT 'prices' AS name, count(*) AS n, true AS same FROM p UNION ALL SELECT 'brand_week_aggregates', count(*), true FROM b UNION ALL SELECT 'brand_week_index', count(*), true FROM b
+        UNION ALL SELECT 'product_rankings', count(*), true FROM (SELECT lag(m) OVER (PARTITION BY c ORDER BY w) AS l FROM m) WHERE l > 0
+        UNION ALL SELECT 'price_anomalies', count(*), true FROM z WHERE s > 0 AND abs((m - a) / s) >= 2""",
     "dead_letters": """WITH n AS (SELECT user_id AS ticket_id, 1 + count(*) FILTER (event_type = 'error') AS attempts FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'click') > 0)
         SELECT ticket_id, CAST(attempts AS INT) AS attempts, CASE WHEN attempts >= 5 THEN -1 ELSE least(10 * 2 ** (attempts - 1), 600) END::BIGINT AS wait FROM n WHERE attempts < 5 OR ticket_id % 2 <> 0""",
     "clean_metadata": f"""WITH {RAW_SQL}, c AS (SELECT *, length('Carrefour  Market, ' || l_suppkey) % 3 AS m FROM firsts)
