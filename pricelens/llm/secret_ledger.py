@@ -98,7 +98,8 @@ class Ledger:
         if known is None:
             known = self.spark.createDataFrame([], SCHEMA)
         if not one_scan:
-            known = known.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("rules"), F.flatten(F.collect_list("found")).alias("found"))
+            # Two scans that began before either had written, or one that was written twice, tell the same: each finding counts once.
+            known = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
         current = F.filter("found", lambda s: s["rule"].isin(*names))
         ordered = F.transform(F.array_sort(F.transform(current, lambda s: F.struct(s["start"].alias("at"), place[s["rule"]].alias("nr"), s.alias("span")))), lambda x: x["span"])
         whole = F.size(F.array_except(F.array(*map(F.lit, names)).cast("array<string>"), "rules")) == 0
