@@ -78,8 +78,8 @@ def replace_table(df: DataFrame, path: str, partition_col: str | None = None, cl
     fresh = f"{path}.new-{uuid.uuid4().hex}"
     rows = df
     if partition_col:
-        # Days are dealt out with a hash of the row, so that a day with most of the rows is written by many tasks.
-        rows = rows.repartition(F.col(partition_col), F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+        # Small days are brought together and a day with most of the rows is split over as many tasks as its size needs.
+        rows = rows.hint("rebalance", F.col(partition_col))
     if cluster or partition_col:
         rows = rows.sortWithinPartitions(*([partition_col] if partition_col else []), *(cluster or []))
     writer = rows.write.partitionBy(partition_col) if partition_col else rows.write
@@ -95,7 +95,7 @@ def replace_partition(path: str, df: DataFrame, col: str, value) -> None:
 def replace_partitions(path: str, df: DataFrame, col: str, values: list) -> None:
     """Make ``df`` the rows of the partitions ``values`` of the table at ``path``; those it has no rows for go, all others stay."""
     spark = df.sparkSession
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(col).parquet(path)
+    df.hint("rebalance", F.col(col)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(col).parquet(path)
     held = {r[0] for r in df.select(col).distinct().collect()}  # of the partitions asked for
     for value in values:
         if value not in held and exists(spark, f"{path}/{col}={value}"):
@@ -197,7 +197,7 @@ def _upsert(path: str, source: DataFrame, keys: list[str], update_cols: list[str
     affected = target.where(F.col(partition_col).isin([v for v in values if v is not None]) | (F.col(partition_col).isNull() if None in values else F.lit(False)))
     fresh = f"{path}.new-{uuid.uuid4().hex}"
     out = merged(affected, whole, keys, update_cols, keep_if_null)
-    out.repartition(F.col(partition_col), F.pmod(F.xxhash64(*keys), F.lit(8))).write.partitionBy(partition_col).parquet(fresh)
+    out.hint("rebalance", F.col(partition_col)).write.partitionBy(partition_col).parquet(fresh)
     fs, root = _path(spark, fresh)
     written = {f.getPath().getName() for f in fs.listStatus(root) if f.isDirectory()}
     for name in written:

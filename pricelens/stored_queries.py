@@ -227,12 +227,13 @@ def daily_run(spark, sf_dir):
 
 
 def daily_weeks(spark, sf_dir):
-    """Five days of snapshots taken in by change: the gold tables equal those of a rebuild from all prices, and how many rows they have."""
+    """Five days of snapshots, each with prices of eight dates, taken in by change: the gold tables equal those of a rebuild from all prices, and how many rows they have."""
     base, raw = folder(spark), Q.raw_snapshot(spark, sf_dir)
-    day = F.date_add(F.lit(Q.LAST), F.pmod(F.substring_index(F.col("id"), "-", 1).try_cast("int"), F.lit(5)))
-    raw.withColumn("dt", F.coalesce(day, F.lit(Q.LAST))).write.partitionBy("dt").parquet(f"{base}/archive")
+    order = F.coalesce(F.substring_index(F.col("id"), "-", 1).try_cast("int"), F.lit(0)) % 40
+    raw = raw.withColumns({"date": F.date_sub(F.lit(Q.LAST), order), "dt": F.date_add(F.lit(Q.LAST), F.floor(order / 8).cast("int"))})
+    raw.write.partitionBy("dt").parquet(f"{base}/archive")
     rules = cleaning.CleanConfig(reference_date=Q.LAST)
-    daily.follow(spark, f"{base}/archive", f"{base}/out", raw.schema, Q.AT, config=rules, order=[F.col("seen")], exact=True, weeks=None, recent=None, top_n=None, z=2.0).awaitTermination()
+    daily.follow(spark, f"{base}/archive", f"{base}/out", raw.drop("dt").schema, Q.AT, config=rules, order=[F.col("seen")], exact=True, weeks=None, recent=None, top_n=None, z=2.0).awaitTermination()
     prices = spark.read.parquet(f"{base}/out/prices")
     whole = gold.gold_of_weeks(gold.weekly_states(prices, exact=True), Q.LAST, weeks=None, recent=None, top_n=None, z=2.0)
     out = prices.agg(F.lit("prices").alias("name"), F.count("*").alias("n"), F.lit(True).alias("same"))
@@ -401,8 +402,8 @@ ORACLES = {
         UNION ALL SELECT 'brand_week_index', count(*) FROM b UNION ALL SELECT 'product_rankings', least(count(*), 500) FROM moves WHERE before > 0 UNION ALL SELECT 'price_anomalies', count(*) FROM a WHERE s > 0 AND abs((m - x) / s) >= 3 UNION ALL SELECT 'reports', 1""",
     "catalogue_delta": """SELECT cast(p_partkey AS VARCHAR) AS ean, CASE WHEN p_partkey % 9 <> 0 THEN CASE WHEN p_partkey % 5 = 0 THEN 'Other brand' ELSE p_brand END END AS brand, p_partkey % 9 <> 0 AS off_found FROM part
         WHERE CASE WHEN p_partkey % 7 = 0 THEN p_partkey % 2 = 0 ELSE p_partkey % 5 = 0 AND p_partkey % 9 <> 0 END""",
-    "daily_weeks": f"""WITH {RAW_SQL.replace("SELECT product_code AS pc,", "SELECT product_code AS pc, l_orderkey % 5 AS pd,").replace("GROUP BY 1 HAVING count(*) >= 5", "GROUP BY 1, 2 HAVING count(*) >= 5").replace("ON product_code = pc", "ON product_code = pc AND l_orderkey % 5 = pd")},
-        p AS (SELECT CAST(date_trunc('week', CAST(l_shipdate AS DATE)) AS DATE) AS w, product_code AS c, price, iqr_outlier AS o FROM flagged),
+    "daily_weeks": f"""WITH {RAW_SQL.replace("SELECT product_code AS pc,", "SELECT product_code AS pc, l_orderkey % 40 // 8 AS pd,").replace("GROUP BY 1 HAVING count(*) >= 5", "GROUP BY 1, 2 HAVING count(*) >= 5").replace("ON product_code = pc", "ON product_code = pc AND l_orderkey % 40 // 8 = pd").replace("CAST(l_shipdate AS DATE) > DATE '2001-01-01'", "false")},
+        p AS (SELECT CAST(date_trunc('week', DATE '2001-01-01' - CAST(l_orderkey % 40 AS INT)) AS DATE) AS w, product_code AS c, price, iqr_outlier AS o FROM flagged),
         b AS (SELECT w FROM p WHERE NOT o GROUP BY w HAVING count(*) >= 3),
         m AS (SELECT w, c, quantile_disc(price, 0.5) AS m FROM p WHERE NOT o GROUP BY w, c HAVING count(*) >= 3),
         z AS (SELECT m, avg(m) OVER (PARTITION BY c) AS a, stddev_pop(m) OVER (PARTITION BY c) AS s FROM m)
