@@ -54,6 +54,24 @@ def test_short_texts_with_a_shared_opening_are_all_found(spark):
     assert all(got[2 * i] == got[2 * i + 1] for i in range(150)) and len(set(got.values())) >= 140
 
 
+def test_nearest_on_vectors_that_can_be_pruned(spark):
+    """The default factor keeps recall over several shards and coarse points, with broad clusters and none; ids that repeat count once."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16))
+    for x in (centres[rng.integers(0, 20, 4000)] + 0.5 * rng.normal(size=(4000, 16)), rng.random((4000, 8))):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 3, "vec_id long, embedding array<double>")
+        got = {}
+        for r in vptree.nearest(df, df.where("vec_id % 50 = 0"), shard=400).collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        hits = 0
+        for q, found in got.items():
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            hits += len(set(found) & set(np.argsort(d, kind="stable")[:10].tolist()))
+            assert len(set(found)) == 10
+        assert len(got) == 80 and hits >= 0.97 * 800
+
+
 def test_recall_of_near_copies_by_length(spark):
     """Words replaced at random places: at least nine in ten pairs at 0.8 and 0.85 for 21 to 200 words."""
     rng = random.Random(6)
