@@ -201,6 +201,12 @@ def iqr_outliers(spark, sf_dir):
     return cleaning.flag_iqr(t(spark, sf_dir, "events"), "event_type", "value").where("iqr_outlier").select("event_id", "event_type", "value")
 
 
+def iqr_outliers_hot(spark, sf_dir):
+    """The same with quartiles in two passes for every event type, and for all events as one type."""
+    ev = t(spark, sf_dir, "events").select("event_id", F.explode(F.array(F.col("event_type"), F.lit("all"))).alias("event_type"), "value")
+    return cleaning.flag_iqr(ev, "event_type", "value", k=2.0, hot=50).where("iqr_outlier").select("event_id", "event_type", "value")
+
+
 def price_range_filter(spark, sf_dir):
     ev = t(spark, sf_dir, "events")
     price = S.price_of(F.col("value"), "double")
@@ -219,6 +225,8 @@ def distinct_barcodes(spark, sf_dir):
 CLEANING_SQL |= {
     "iqr_outliers": """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1 HAVING count(*) >= 5)
         SELECT event_id, event_type, value FROM events JOIN q USING (event_type) WHERE value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1)""",
+    "iqr_outliers_hot": """WITH e AS (SELECT event_id, event_type, value FROM events UNION ALL SELECT event_id, 'all', value FROM events), q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM e GROUP BY 1 HAVING count(*) >= 5)
+        SELECT event_id, event_type, value FROM e JOIN q USING (event_type) WHERE value < q1 - 2 * (q3 - q1) OR value > q3 + 2 * (q3 - q1)""",
     "price_range_filter": "SELECT event_type, count(*) AS n FROM events WHERE value BETWEEN 1 AND 50 GROUP BY 1",
     "dedup_first": f"WITH {PRICE_OBS} SELECT id, price_date, product_code, price_eur, l_suppkey FROM price_obs QUALIFY row_number() OVER (PARTITION BY id ORDER BY price_date, l_partkey, l_suppkey, price_eur) = 1",
     "distinct_barcodes": f"WITH {PRICE_OBS} SELECT DISTINCT product_code FROM price_obs",
@@ -615,7 +623,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         brand_week_aggregates, brand_week_aggregates_recent, brand_week_index, product_rankings, price_anomalies, price_anomalies_by_brand, alert_rankings, alert_anomalies, alert_report, transform_prices,
-        rejections_by_reason, run_metrics, iqr_outliers, price_range_filter, dedup_first, distinct_barcodes, barcode_check, barcode_normal, price_parse, date_parse, country_infer, brand_canonical, city_title, discount_check,
+        rejections_by_reason, run_metrics, iqr_outliers, iqr_outliers_hot, price_range_filter, dedup_first, distinct_barcodes, barcode_check, barcode_normal, price_parse, date_parse, country_infer, brand_canonical, city_title, discount_check,
         quantity_parse, department, undiscovered_products, stale_products, catalogue_search, catalogue_lookup, shape_catalogue, initial_catalogue, comparable_groups, substitutes_topk, substitutes_gated, substitutes_lsh,
         basket_history, laspeyres_national, laspeyres_regional, personal_index, rolling_index, search_many, names_alike, index_series, regional_map, cheapest_store, brand_stats, rankings_view, hall_of_shame, ticket_detail, ticket_page,
         apply_corrections, resolve_products, receipt_tickets, receipt_lines, receipt_texts, ticket_events_decoded,
