@@ -210,6 +210,10 @@ def _upsert(path: str, source: DataFrame, keys: list[str], update_cols: list[str
     return n
 
 
+#: An alias is known by its text, store and source.
+ALIAS_KEY = ["raw_text", "enseigne", "source"]
+
+
 def alias_key(df: DataFrame) -> DataFrame:
     """Aliases with their store's name never null, as their key needs it."""
     return df.withColumn("enseigne", F.coalesce("enseigne", F.lit("")))

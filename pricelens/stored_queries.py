@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import queries as Q
+from .functions import products as P
 from .functions.scalars import dashed_uuid
 from .operators import baskets, catalogue, cleaning, receipts, similarity
 from .plans import daily, gold, serving
@@ -73,14 +74,47 @@ def upsert_lines(spark, sf_dir):
 
 
 def upsert_aliases(spark, sf_dir):
-    """Aliases by text and store, of which some have no store."""
+    """Aliases by text, store and source, of which some have no store: a reading of each, then those that users validate and some that are read anew."""
     su, at = t(spark, sf_dir, "supplier"), f"{folder(spark)}/aliases"
-    alias = lambda ean: tables.alias_key(su.select(F.col("s_name").alias("raw_text"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey").cast("string")).alias("enseigne"), ean.alias("ean"), F.col("s_suppkey").alias("k"))).dropDuplicates(["raw_text", "enseigne"])
-    tables.upsert(at, alias(F.concat(F.lit("a"), F.col("s_suppkey").cast("string"))).drop("k"), ["raw_text", "enseigne"])
-    tables.upsert(at, alias(F.concat(F.lit("b"), F.col("s_suppkey").cast("string"))).where("k % 3 = 0").drop("k"), ["raw_text", "enseigne"])
+
+    def alias(source: str, mark: str, rows):
+        store = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey").cast("string"))
+        named = rows.select(F.col("s_name").alias("raw_text"), store.alias("enseigne"), F.lit(source).alias("source"), F.concat(F.lit(mark), F.col("s_suppkey").cast("string")).alias("ean"))
+        return tables.alias_key(named).dropDuplicates(tables.ALIAS_KEY)
+
+    tables.upsert(at, alias("ocr", "a", su), tables.ALIAS_KEY)
+    tables.upsert(at, alias("user-validation", "b", su.where("s_suppkey % 3 = 0")).unionByName(alias("ocr", "c", su.where("s_suppkey % 5 = 0"))), tables.ALIAS_KEY)
     return spark.read.parquet(at)
 
 
+def model_outputs(spark, sf_dir):
+    """Product names as a model's transcriptions, some of them chatty, short or empty: what is left of each, and why it is no use."""
+    k, lines = F.col("p_partkey") % 4, F.concat_ws("\n", "p_name", "p_type")
+    text = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.lit("```\nVoici le ticket\n"), lines, F.lit("\n\njson\n```"))).when(k == 2, F.concat(F.lit("I think it says\n"), lines)).otherwise(" ")
+    return t(spark, sf_dir, "part").select("p_partkey", receipts.clean_transcription(text).alias("cleaned"), receipts.output_error(text, "transcribe").alias("error"))
+
+
+def merged_passes(spark, sf_dir):
+    """Orders read in three passes: one with the shop, one with items and an address, one without any: the ticket of each."""
+    od = t(spark, sf_dir, "orders").select("o_orderkey")
+    item = lambda n: F.struct(F.concat(F.lit("ITEM "), n).alias("nom_produit"), F.lit("1.50").alias("prix_unitaire_ou_kg"), F.lit("1").alias("unites"))
+    none = F.array().cast("array<struct<nom_produit:string,prix_unitaire_ou_kg:string,unites:string>>")
+    number = F.col("o_orderkey").cast("string")
+    ticket = lambda shop, address, items: F.to_json(F.struct(F.struct(F.lit("03/11/2025 10:00").alias("date"), shop.alias("chaine_supermarche"), address.alias("adresse"), items.alias("produits")).alias("ticket")))
+    passes = (ticket(F.concat(F.lit("SHOP "), number), F.lit(""), none), ticket(F.lit(" "), F.concat(number, F.lit(" ROAD")), F.array(item(number), item(F.lit("X")))), ticket(F.lit("OTHER"), F.lit("ELSEWHERE"), none))
+    parts = od.select(F.col("o_orderkey").alias("ticket_id"), F.posexplode(F.array(*passes)).alias("pass_nr", "text"))
+    merged = receipts.merge_partial(parts)
+    return merged.select("ticket_id", F.col("ticket.chaine_supermarche").alias("shop"), F.col("ticket.adresse").alias("address"), F.size("ticket.produits").cast("long").alias("items"), F.col("ticket.produits")[0]["nom_produit"].alias("first"))
+
+
+def embedded_products(spark, sf_dir):
+    """The parts with the vectors that some of them have, and the group of their categories."""
+    parts = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("ean"), F.col("p_size"))
+    vectors = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ean"), "embedding")
+    tags = F.array(F.lit("en:unknown"), F.element_at(F.array(F.lit("en:dairy"), F.lit("en:none"), F.lit("en:fish"), F.lit("en:beverages")), F.col("p_size") % 4 + 1), F.lit("en:meat"))
+    return catalogue.with_embeddings(parts, vectors).select("ean", F.col("embedding").isNotNull().alias("embedded"), P.category_group(tags).alias("group"))
+
+
 def upsert_catalogue(spark, sf_dir):
     """The catalogue in full, then every third product again as it is today, and some that are new."""
     at = f"{folder(spark)}/catalogue"
@@ -357,7 +391,7 @@ def json_receipts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        partition_replace, upsert_prices, upsert_lines, upsert_aliases, upsert_catalogue, snapshot_archive, stored_documents, streamed_events, substitutes_ivf_recall, substitutes_ivf, ticket_states, ticket_waits, json_rows, gold_counts, gold_default_medians, alert_report_stored, daily_run, daily_weeks, catalogue_delta, dead_letters, clean_metadata,
+        partition_replace, upsert_prices, upsert_lines, upsert_aliases, model_outputs, merged_passes, embedded_products, upsert_catalogue, snapshot_archive, stored_documents, streamed_events, substitutes_ivf_recall, substitutes_ivf, ticket_states, ticket_waits, json_rows, gold_counts, gold_default_medians, alert_report_stored, daily_run, daily_weeks, catalogue_delta, dead_letters, clean_metadata,
         rejection_records, rejection_metrics, brand_increases, index_points, personal_alerts, resolve_lines, substitute_states, substitutes_recall, json_receipts,
     )
 }
@@ -370,7 +404,13 @@ ORACLES = {
     "partition_replace": "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE event_type <> 'view' AND (event_type <> 'click' OR value > 100) GROUP BY 1",
     "upsert_prices": f"""WITH {_LI} SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 3 THEN quantity WHEN l_orderkey % 2 = 0 THEN quantity + 100 WHEN l_linenumber <= 5 THEN quantity END AS quantity, day FROM li""",
     "upsert_lines": f"""WITH {_LI} SELECT l_orderkey AS ticket_id, l_linenumber AS line_index, CASE WHEN l_linenumber >= 3 THEN 'B' ELSE '' END || 'A' || CAST(quantity AS INT) AS raw_text, l_linenumber <= 4 AND l_orderkey % 3 = 0 AS validated_by_user FROM li""",
-    "upsert_aliases": "SELECT s_name AS raw_text, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_nationkey AS VARCHAR) ELSE '' END AS enseigne, CASE WHEN s_suppkey % 3 = 0 THEN 'b' ELSE 'a' END || s_suppkey AS ean FROM supplier",
+    "upsert_aliases": """WITH s AS (SELECT s_name AS raw_text, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_nationkey AS VARCHAR) ELSE '' END AS enseigne, s_suppkey AS k FROM supplier)
+        SELECT raw_text, enseigne, 'ocr' AS source, CASE WHEN k % 5 = 0 THEN 'c' ELSE 'a' END || k AS ean FROM s UNION ALL SELECT raw_text, enseigne, 'user-validation', 'b' || k FROM s WHERE k % 3 = 0""",
+    "model_outputs": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 3 THEN '' ELSE p_name || chr(10) || p_type END AS cleaned,
+        CASE p_partkey % 4 WHEN 0 THEN 'transcription too short' WHEN 2 THEN 'chatty output (i think)' WHEN 3 THEN 'empty output' END AS error FROM part""",
+    "merged_passes": "SELECT o_orderkey AS ticket_id, 'SHOP ' || o_orderkey AS shop, o_orderkey || ' ROAD' AS address, 2 AS items, 'ITEM ' || o_orderkey AS first FROM orders",
+    "embedded_products": """SELECT p_partkey AS ean, e.embedding IS NOT NULL AS embedded, CASE p_size % 4 WHEN 0 THEN 'Milk and dairy products' WHEN 3 THEN 'Beverages' ELSE 'Fish Meat Eggs' END AS "group"
+        FROM part LEFT JOIN embeddings e ON p_partkey = vec_id""",
     "upsert_catalogue": """SELECT cast(p_partkey AS VARCHAR) AS ean, CASE WHEN p_partkey % 9 <> 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 'new ' ELSE '' END || p_brand END AS brand, p_partkey % 9 <> 0 AS off_found FROM part WHERE p_partkey % 10 <> 1 OR p_partkey % 3 = 0""",
     "snapshot_archive": f"""WITH {RAW_SQL} SELECT 'read' AS what, count(*) AS n, count(DISTINCT id) AS ids, count(full_price) AS full_prices, CAST(max(l_shipdate) AS DATE) AS last FROM raw UNION ALL SELECT 'absent', 0, 0, 0, NULL""",
     "stored_documents": Q.ORACLES["shape_catalogue"],
