@@ -68,7 +68,10 @@ def exact_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
 
 def drop_exact_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that stay, with its own columns whatever their names: one for each text, that with the largest id."""
+    """The rows of ``df`` that stay, with its own columns whatever their names: one for each text, that with the largest id.
+
+    A null text counts as empty; null ids come last, and of rows that repeat both text and id one stays. An empty table gives an empty result.
+    """
     scratch, own = Scratch(df.sparkSession), dict(zip(OWN, unused(df, *OWN)))
     hot = _widely_shared(df, text, scratch)
     # The runs of widely shared texts meet first, from their texts and ids alone.

@@ -182,6 +182,8 @@ def identify(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     Learns from rows with a language outside the held-out fold; predicts from the text alone. A null text, or one without
     letters, is ``und`` with score 0, and so is everything if nothing could be learnt from. A null id is not held out.
+    Every row has a prediction of its own, also one that repeats an id; texts of any length are read whole, and of languages with the same
+    score the first by name is taken. An empty table gives an empty result.
     """
     model = train(df.where(F.coalesce(learns("doc_id", FOLDS, HELD), F.lit(False))), sample)
     held = ~F.coalesce(learns("doc_id", FOLDS, HELD), F.lit(True))

@@ -280,7 +280,10 @@ def find_licenses(df: DataFrame, text: str = "text", into: str = "licenses", mod
 
 
 def license_report(df: DataFrame, text: str = "text", doc_id: str = "doc_id", model: Model | None = None) -> DataFrame:
-    """One row per input row: doc_id, licenses (families found, sorted, comma-joined), n_found, n_unknown (paragraphs with an anchor that license nothing known)."""
+    """One row per input row: doc_id, licenses (families found, sorted, comma-joined), n_found, n_unknown (paragraphs with an anchor that license nothing known).
+
+    A null or empty text has none. Every row is kept, also one that repeats an id; texts are read whole, and an empty table gives an empty result.
+    """
     found = find_licenses(df.select(F.col(f"`{doc_id}`").alias(doc_id), F.col(f"`{text}`").alias(text)), text, "__found", model)
     known = F.filter("__found", lambda p: p["family"] != UNKNOWN)
     return found.select(

@@ -130,7 +130,10 @@ def redact(df: DataFrame, text: str = "text", at_least: int = 0, mark: str = "[{
 
 
 def pii_report(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, counts of the base kinds, digest of the base spans, all spans, and how many of them are likely."""
+    """One row per input row: doc_id, counts of the base kinds, digest of the base spans, all spans, and how many of them are likely.
+
+    A null text counts as empty and has no spans. Every row is kept, also one that repeats an id; texts are read whole, and an empty table gives an empty result.
+    """
     found = find_pii(df.select(doc_id, text), text, "__pii").select(
         F.col(doc_id).alias("doc_id"),
         *(F.size(f"__pii.{k}").cast("long").alias(f"n_{k}") for k in BASE_KINDS),

@@ -329,5 +329,6 @@ def encoding_report(df: DataFrame, model: str = MODEL) -> DataFrame:
     """One row per input row: doc_id, n_ids, ids_crc32 (of little-endian unsigned 32-bit ids), round_trip (decoding gives the text back).
 
     Null texts count as empty. The character that stands for a space in pieces decodes to a space, in texts that have it too.
+    Every row is kept, also one that repeats an id, and an empty table gives an empty result.
     """
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_reported(model), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")

@@ -230,7 +230,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
     Both frames hold vec_id and embedding. Vectors that are null or zero, or hold null or non-finite components, take no part, nor
     does a null id. Vectors are compared with those of as many dimensions. A query is never its own neighbour; queries that
     repeat an id count once (by the smallest vector), and of candidates that repeat an id the nearest counts. With too few
-    candidates all are returned.
+    candidates all are returned. An empty table on either side gives an empty result.
     """
     scratch = Scratch(vectors.sparkSession)
     pool = scratch.put(usable(vectors).distinct())  # it is counted, drawn from and dealt
