@@ -474,6 +474,12 @@ def test_wrapped_licenses_and_titles(spark):
     assert [(r.licenses, r.n_found, r.n_unknown) for r in got] == list(cases.values())
 
 
+def confirms(template, grams):
+    used = 2 * template.size >= sum(" " not in g for g in grams) or template.under in grams or any(g in grams for g in licenses.GRANTS)
+    share = 1 if template.named or len(template.pairs) <= licenses.WHOLE else licenses.CONFIRMED
+    return all(sum(p in grams for p in of) >= share * len(of) - 1e-9 for of in (template.pairs, template.marks)) and (used or not template.naming)
+
+
 def scanned(text, model):
     """Licences of a text by plain loops: line, family and whether it is known."""
     lines = (text or "").split("\n")
@@ -486,14 +492,11 @@ def scanned(text, model):
             spans += [(i, n)] * (n > licenses.WRAPPED)
     judged = []
     for i, n in spans:
-        grams = licenses.grams_of(licenses.words_of("\n".join(lines[i : i + n])))
+        grams = set(licenses.grams_of(licenses.words_of("\n".join(lines[i : i + n]))))
         z = [(b + sum(model.weights[g][k] for g in grams if g in model.weights)) / model.temperature for k, b in enumerate(model.bias)]
-        best = max(range(len(z)), key=lambda k: z[k])
-        chance = 1 / sum(math.exp(x - z[best]) for x in z)
-        family = model.families[best]
-        shares = [(len(t), len(set(t) & set(grams)) / len(t)) for t in licenses.templates().get(family, [])]
-        if chance >= licenses.LIKELY and any(s >= (1.0 if n <= licenses.WHOLE else licenses.CONFIRMED) for n, s in shares):
-            judged.append((n, i, family))
+        for family, x in zip(model.families[:-1], z):
+            if 1 / (1 + math.exp(min(z[-1] - x, 700))) >= licenses.LIKELY and any(confirms(t, grams) for t in licenses.templates()[family]):
+                judged.append((n, i, family))
     found = []
     for n, i, family in sorted(judged):
         if not any(f == family and i < j + m and j < i + n for m, j, f in found):
@@ -511,9 +514,39 @@ HELD_OUT = [
 ]
 
 
+#: Licences that stand together, texts of whole licences, families apart, and sentences that only name one.
+OFFERS = {
+    "(MIT OR Apache-2.0)": "apache,mit", "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "apache,mit", "SPDX-License-Identifier: Apache-2.0 OR MIT": "apache,mit", "under the MPL 2.0 or the GPL v2": "gpl,mpl",
+    "SPDX-License-Identifier: EPL-2.0": "epl", "SPDX-License-Identifier: ISC": "isc", "Available under the zlib license": "zlib", "You may use it under the Boost Software License": "boost", "The same terms as the Artistic License 2.0": "artistic", "Licensed under the EUPL v1.2": "eupl",
+    "SPDX-License-Identifier: LGPL-3.0-or-later": "lgpl", "Licensed under CC BY-NC-SA 4.0": "", '"license": "MIT",': "mit",
+    **{t: f for f, t in (("mit", licenses.PARAGRAPHS["mit"][2]), ("bsd", licenses.PARAGRAPHS["bsd"][4]), ("apache", licenses.PARAGRAPHS["apache"][2]), ("gpl", licenses.PARAGRAPHS["gpl"][3]), ("isc", licenses.PARAGRAPHS["isc"][1]), ("lgpl", licenses.PARAGRAPHS["lgpl"][0]), ("boost", licenses.PARAGRAPHS["boost"][1]))},
+    **dict.fromkeys(("Researchers at Harvard and MIT announced a study", "She studied under MIT professors", "Apply to Stanford or MIT", "under BSD conditions the kernel panics", "We do not use GPL v3 code here", "The GNU General Public License is discussed in this essay", "a lecture on the Eclipse Public License and its authors"), ""),
+}
+
+
+def test_licenses_that_stand_together_and_mere_mentions(spark):
+    df = spark.createDataFrame(list(enumerate(OFFERS)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.license_report(df).collect()}
+    assert {t: got[i] for i, t in enumerate(OFFERS)} == OFFERS
+
+
+def test_paragraphs_of_each_family_are_found_in_prose_and_by_no_other(spark):
+    """Each paragraph, wrapped in lines of eight words amid others, is found as its own family's and no other's."""
+    rng = random.Random(16)
+    found = []
+    for family, paragraphs in licenses.PARAGRAPHS.items():
+        for p in paragraphs:
+            w = p.split()
+            found.append((len(found), words(rng, 40) + "\n\n" + "\n".join(" ".join(w[i : i + 8]) for i in range(0, len(w), 8)) + "\n\n" + words(rng, 40), family))
+    got = {r.doc_id: r.licenses for r in licenses.license_report(spark.createDataFrame(found, "doc_id long, text string, family string")).collect()}
+    marked = {f: {frozenset(t.pairs) for t in ts} for f, ts in licenses.templates().items()}
+    assert {i: got[i] for i, _, f in found} == {i: f for i, _, f in found}, [(f, got[i], t) for i, t, f in found if got[i] != f]
+    assert all(marked.values()) and set(marked) == set(licenses.NOTICES)
+
+
 def test_licenses_against_brute_force_and_held_out_notices(spark):
     model = licenses.train()
-    texts = [t for _, t in HELD_OUT] + [None, "", "\n\n", "a\r\n\t\nMIT License", "word " * 40_000 + "\nReleased under the MIT License.", "\n".join(licenses.PARAGRAPHS["gpl"][0].split(" ")), "MIT License\nMIT License\n\nMIT License", "MIT License\nMIT License\n\nMIT License"]
+    texts = [t for _, t in HELD_OUT] + [*OFFERS, None, "", "\n\n", "a\r\n\t\nMIT License", "word " * 40_000 + "\nReleased under the MIT License.", "\n".join(licenses.PARAGRAPHS["gpl"][0].split(" ")), "MIT License\nMIT License\n\nMIT License", "MIT License\nMIT License\n\nMIT License"]
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text rlike '(?i)licen|rights'").limit(25).collect()]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: sorted((x.nr, x.family) for x in r.found if x.family != licenses.UNKNOWN) for r in licenses.find_licenses(df, into="found", model=model).collect()}
