@@ -39,8 +39,8 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray] | None:
     letter = _letters()[codes]
     if not letter.any():
         return None
-    letter[0] = letter[-1] = True
-    kept = letter | np.roll(letter, 1)
+    kept = letter | np.roll(letter, 1)  # letters, and of other characters the first after a letter
+    kept[0] = True
     c = np.where(letter, codes, np.uint32(32))[kept]
     one = c * _ODD[0]
     two = (one[:-1] ^ (c[1:] * _ODD[1])) * _ODD[2]

@@ -414,6 +414,101 @@ def test_language(spark):
     assert langid.identify(docs(spark, [])).count() == 0
 
 
+def mixed(code, factor):
+    """A step of the hash of n-grams, in whole numbers of 32 bits."""
+    return code * factor % 2**32
+
+
+def plain_counts(text):
+    """Buckets of the 1- to 3-grams of the letters of a text, everything else read as one space, by loops over characters."""
+    a, b, c = (int(x) for x in langid._ODD)
+    chars = [" "]
+    for ch in text.lower():
+        if ch.isalpha():
+            chars.append(ch)
+        elif chars[-1] != " ":
+            chars.append(" ")
+    if chars[-1] != " ":
+        chars.append(" ")
+    if len(chars) < 2:
+        return None
+    code, keys = [ord(ch) for ch in chars], Counter()
+    for i, x in enumerate(code):
+        one = mixed(x, a)
+        keys[mixed(one, b)] += 1
+        if i + 1 < len(code):
+            two = mixed(one ^ mixed(code[i + 1], b), c)
+            keys[two] += 1
+        if i + 2 < len(code):
+            keys[mixed(two ^ mixed(code[i + 2], a), b)] += 1
+    found = Counter()
+    for key, n in keys.items():
+        found[key >> (32 - langid.BITS)] += n
+    return dict(found)
+
+
+@pytest.mark.parametrize("text", ["", "123 !", "a", "Ab1c  d", "  \u00c9t\u00e9, na\u00efve \U0001f600 \u4e2d\u6587", "x-" * 500])
+def test_ngram_counts_against_loops(text):
+    got = langid.ngram_counts(text)
+    assert (got and dict(zip(got[0].tolist(), map(int, got[1])))) == plain_counts(text)
+
+
+def test_language_weights_and_scores_against_plain_python(spark):
+    """Document frequencies, follow-the-leader steps and a score, each worked out by loops over dictionaries."""
+    rng = random.Random(17)
+    data = [(i, words(rng, 6) + (" yy" if i % 2 else " zz"), "aa" if i % 2 else "bb", "s", 1) for i in range(40)]
+    model = langid.train(docs(spark, [*data, (90, "yy zz", None, None, None)]))
+    counts = [plain_counts(t) for _, t, *_ in data]
+    seen = Counter(k for c in counts for k in c)
+    idf = {k: math.log((1 + len(data)) / (1 + seen[k])) + 1 for k in range(1 << langid.BITS)}
+    assert all(model.idf[k] == pytest.approx(v, rel=1e-6) for k, v in idf.items())
+
+    def features(c):
+        x = {k: math.log1p(n) * idf[k] for k, n in c.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {k: v / norm for k, v in x.items()}
+
+    # One pass over five rows, the fifth of which only calibrates; the orders are those that the seed gives.
+    few = [(lang, *(np.array(v) for v in zip(*sorted(c.items())))) for (_, _, lang, *_), c in list(zip(data, counts))[:5]]
+    got = langid.fit([(lang, at, n.astype(np.float32)) for lang, at, n in few], np.array([idf[k] for k in range(len(idf))]), epochs=1, alpha=0.5, beta=1.0, l1=2e-3, l2=1e-3, seed=7)
+    order = np.random.default_rng(7)
+    taught = [few[i] for k, i in enumerate(order.permutation(5)) if k % 5 != 4]
+    z, n = Counter(), Counter()
+
+    def weight(key):
+        return 0.0 if abs(z[key]) <= 2e-3 else -(z[key] - math.copysign(2e-3, z[key])) / ((1.0 + math.sqrt(n[key])) / 0.5 + 1e-3)
+
+    def chances(x, w, t=1.0):
+        e = [math.exp(sum(v * w(k, j) for k, v in x.items()) / t) for j in (0, 1)]
+        return [v / sum(e) for v in e]
+
+    for i in order.permutation(len(taught)):
+        lang, at, c = taught[i]
+        x = {**features(dict(zip(at.tolist(), c.tolist()))), "bias": 1.0}
+        p = chances(x, lambda k, j: weight((k, j)))
+        step = {(k, j): v * (p[j] - (lang == ("aa", "bb")[j])) for k, v in x.items() for j in (0, 1)}
+        old = {key: weight(key) for key in step}
+        for key, g in step.items():
+            z[key] += g - (math.sqrt(n[key] + g * g) - math.sqrt(n[key])) / 0.5 * old[key]
+            n[key] += g * g
+    for key in z:
+        assert (got.bias[key[1]] if key[0] == "bias" else got.weights[key]) == pytest.approx(weight(key), abs=1e-5)
+    text = data[7][1]
+    p = chances({**features(plain_counts(text)), "bias": 1.0}, lambda k, j: weight((k, j)), got.temperature)
+    assert got.predict(text) == (("aa", "bb")[p.index(max(p))], pytest.approx(max(p), abs=1e-4))
+
+
+def test_language_of_odd_texts(spark):
+    """Repeated rows have a prediction each, very long texts are read whole, and of labels that score the same the first by name is taken."""
+    even = langid.Model(["aa", "bb"], np.ones(1 << langid.BITS, np.float32), np.zeros((1 << langid.BITS, 2), np.float32), np.zeros(2, np.float32))
+    assert even.predict("abc") == ("aa", 0.5) and even.predict("") == (langid.UNKNOWN, 0.0)
+    rng = random.Random(18)
+    data = [(i, " ".join("".join(rng.choice("vwxyz" if i % 2 else "abcde") for _ in range(5)) for _ in range(20)), "bb" if i % 2 else "aa", "s", 1) for i in range(60)]
+    late = "ab " + "vwxyz zyxwv " * 20_000
+    got = langid.identify(docs(spark, [*data, (900, late, None, None, None), (900, late, None, None, None), (901, "", None, None, None)])).where("doc_id >= 900").collect()
+    assert [(r.doc_id, r.lang_pred) for r in sorted(got)] == [(900, "bb"), (900, "bb"), (901, "und")]
+
+
 def test_toxicity_learns_and_gradients(spark):
     rng = random.Random(7)
     data, labels = [], []
