@@ -704,3 +704,78 @@ def test_pipeline_on_odd_and_empty_documents(spark, tmp_path):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
     assert sorted(r.doc_id or 0 for r in got) == [0, 2, 4, 6] and corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def bins_of(lengths, capacity):
+    """How many bins one-by-one best fit opens, longest first."""
+    left = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, room in enumerate(left) if room >= n]
+        if fits:
+            left[min(fits, key=lambda i: left[i])] -= n
+        else:
+            left.append(capacity - n)
+    return len(left)
+
+
+def test_pipeline_stage_by_stage_against_plain_python(spark, tmp_path):
+    """Toxic, equal, nearly equal, very long and null texts, personal data and a repeated id: each stage against loops over what it was given."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(19)
+    clean = [words(rng, rng.choice([12, 70, 200])) for _ in range(90)]
+    clean += [" ".join(edited(rng, rng.choice(clean).split(), 1)) for _ in range(25)] + [rng.choice(clean) for _ in range(25)] + [words(rng, 4000), "", None, None]
+    clean += [f"write to a.b{i}@mail.example.org or call +49 30 12345{i:03d} now {words(rng, 15)}" for i in range(10)]
+    foul = [f"{words(rng, 20)} grumble grumbled grumbling {words(rng, 20)}" for _ in range(40)]
+    texts = [(t, 0) for t in clean] + [(t, 1) for t in foul]
+    rng.shuffle(texts)
+    data = [(i, t, "en", "s", len(t or "")) for i, (t, _) in enumerate(texts)]
+    again = next(r for r in data if r[1] and texts[r[0]][1] == 0)
+    spark.createDataFrame([*data, again], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, bad) for i, (_, bad) in enumerate(texts)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages, given, now = dict(corpus_pipeline.STAGES), {}, spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in stages.items():
+        given[name] = sorted((tuple(r) for r in now.select("doc_id", "text", "lang", "source", "n_chars").collect()), key=repr)
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+
+    stayed = [r[0] for r in given["exact_dedup"]]
+    bad = {i for i, (_, toxic) in enumerate(texts) if toxic}
+    assert set(range(len(texts))) - bad <= set(stayed) and len(bad & set(stayed)) <= 2 and stayed.count(again[0]) == 2
+
+    best = {}
+    for r in given["exact_dedup"]:
+        if r[0] >= best.get(r[1] or "", r)[0]:
+            best[r[1] or ""] = r
+    assert given["near_dedup"] == sorted(best.values(), key=repr)
+
+    ordered = sorted(given["near_dedup"])
+    roots = linked_pairs([r[1] or "" for r in ordered])
+    assert given["pii"] == sorted((r for i, (r, root) in enumerate(zip(ordered, roots)) if root == i), key=repr)
+
+    masked = []
+    for i, text, lang, source, n in given["pii"]:
+        if text is not None:
+            text = re.sub(r"\+[0-9][\x20().0-9-]+[0-9]", "[phone]", re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[email]", text))
+            n = len(text)
+        masked.append((i, text, lang, source, n))
+    assert [(*r[:4], r[4] or 0) for r in given["packing"]] == sorted(((*r[:4], r[4] or 0) for r in masked), key=repr)
+    assert sum("[email]" in (r[1] or "") and "[phone]" in r[1] for r in masked) == 10
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces, places = {}, {}
+    for r in now.collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, text, *_ in masked:
+        ids, at = [*library.encode(text or "", add_special_tokens=False).ids, 2], 0
+        for start, length, crc in sorted(pieces.pop(i)):
+            assert start == at and crc == zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())
+            at += length
+        assert at == len(ids)
+    assert not pieces
+    for found in places.values():
+        assert [o for o, _ in sorted(found)] == list(itertools.accumulate([0, *(n for _, n in sorted(found))][:-1])) and sum(n for _, n in found) <= 1024
+    assert len(places) == bins_of([n for found in places.values() for _, n in found], 1024)
