@@ -19,6 +19,12 @@ def grams(text: Column, n: Column | int) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
 
 
+def few_of_each(rows: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each value of ``by``."""
+    nr = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return rows.withColumn("__nr", nr).where(F.col("__nr") <= n).drop("__nr")
+
+
 def search_many(catalogue: DataFrame, asked: DataFrame, limit: int = 20, key: str = "ean", name: str = "produit_nom", also: str | None = "brand", found: str | None = "off_found", q: str = "q") -> DataFrame:
     """q, rank, key, name: for each different text of ``asked`` the rows whose name or ``also`` holds it, in any case, by name, up to ``limit``.
 
@@ -29,13 +35,19 @@ def search_many(catalogue: DataFrame, asked: DataFrame, limit: int = 20, key: st
     rows = rows.select(F.col(key).alias("__key"), F.col(name).alias("__name"), F.lower(F.coalesce(name, F.lit(""))).alias("__low"), F.lower(F.coalesce(also, F.lit("")) if also else F.lit("")).alias("__also"))
     texts = asked.select(F.col(q).alias("__q"), F.lower(q).alias("__asked")).where("__asked <> ''").distinct()
     wanted = texts.select("__q", "__asked", F.explode(grams(F.col("__asked"), F.least(F.lit(SEARCHED), F.length("__asked")))).alias("gram"))
-    both = lambda n: F.array_union(grams(F.col("__low"), n), grams(F.col("__also"), n))
-    postings = rows.select("__key", "__name", "__low", "__also", F.explode(F.flatten(F.array(*(both(n) for n in range(1, SEARCHED + 1))))).alias("gram"))
+    # Different texts are searched once, however many rows have them.
+    read = rows.select(F.col("__low").alias("__text")).union(rows.select("__also")).where("__text <> ''").distinct()
+    postings = read.select("__text", F.explode(F.flatten(F.array(*(grams(F.col("__text"), n) for n in range(1, SEARCHED + 1))))).alias("gram"))
     # Only grams that are asked for are counted and kept.
     needed = wanted.select("gram").distinct()
     held = postings.select("gram").join(needed, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("held"))
     rarest = wanted.join(held, "gram", "left").groupBy("__q", "__asked").agg(F.min_by("gram", F.struct(F.coalesce("held", F.lit(0)), "gram")).alias("gram"))
-    met = rarest.join(postings, "gram").where(F.contains("__low", F.col("__asked")) | F.contains("__also", F.col("__asked")))
+    texts_met = rarest.join(postings, "gram").where(F.contains("__text", F.col("__asked"))).select("__q", "__asked", "__text")
+    # Of the rows of a name, and of those with one ``also``, no text lists more than the first up to its limit. A row found by both comes by its name.
+    order = [F.col("__name").asc_nulls_last(), F.col("__key")]
+    named = few_of_each(rows, "__name", [F.col("__key")], limit).join(texts_met, F.col("__low") == F.col("__text"))
+    beside = few_of_each(rows.where("__also <> ''"), "__also", order, limit).join(texts_met, F.col("__also") == F.col("__text")).where(~F.contains("__low", F.col("__asked")))
+    met = named.unionByName(beside)
     rank = F.row_number().over(Window.partitionBy("__q").orderBy(F.col("__name").asc_nulls_last(), "__key"))
     return met.withColumn("rank", rank).where(F.col("rank") <= limit).select(F.col("__q").alias(q), "rank", F.col("__key").alias(key), F.col("__name").alias(name))
 
@@ -63,14 +75,18 @@ def spelt_alike(texts: DataFrame, names: DataFrame, min_similarity: float = 0.75
         return weighed.withColumn("order", order).where(F.col("order") <= lacks).select("id", "s", "gram", "held")
 
     left = texts.select("text").where("text is not null").distinct().select(F.col("text").alias("id"), F.col("text").alias("s"))
-    right = names.where("name is not null").select(F.struct("key", "name").alias("id"), F.col("name").alias("s"))
+    # A name that several keys have is one name, and the largest key is the one that is wanted of it.
+    right = names.where("name is not null").groupBy("name").agg(F.max("key").alias("key")).select(F.struct("key", "name").alias("id"), F.col("name").alias("s"))
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1))), lambda i: F.substring(F.col("s"), i, F.lit(2)))
     each = right.where("s <> ''").select("id", F.posexplode(pieces).alias("at", "piece"))
     held = each.withColumn("nr", F.row_number().over(Window.partitionBy("id", "piece").orderBy("at"))).groupBy(F.concat_ws("~", "piece", "nr").alias("gram")).agg(F.count("*").alias("held")).persist()
     parts = F.greatest(F.ceil(F.col("held") / block), F.lit(1)).cast("int")
     asked = rare(left, held).select("gram", F.col("s").alias("a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     told = rare(right, held).select("gram", "id", F.col("s").alias("b"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-    near = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
+    # No pair that is similar enough has more edits than the longest text of all may have.
+    longest = left.select("s").union(right.select("s")).agg(F.max(F.length("s"))).first()[0] or 0
+    edits = F.levenshtein("a", "b", int(longest * (1 - min_similarity) + 1e-9) + 1)
+    near = F.when(edits >= 0, 1 - edits / F.greatest(F.length("a"), F.length("b")))
     alike = F.least(F.length("a"), F.length("b")) >= min_similarity * F.greatest(F.length("a"), F.length("b")) - 1e-9
     pairs = asked.join(told, ["gram", "part"]).where(alike).select("a", "b", "id").distinct().withColumn("similarity", near).where(F.col("similarity") >= min_similarity)
     best = pairs.groupBy("a").agg(F.max(F.struct("similarity", F.col("id.key").alias("key"))).alias("best"))
