@@ -45,3 +45,27 @@ def test_gold_windows(spark):
     assert [r.week_start_date for r in gold.price_anomalies(prices, weeks=None).collect()] == [week(12)]
     report = json.loads(gold.alert_report(gold.product_rankings(prices, weeks=None), gold.price_anomalies(prices, weeks=None), week(12)).first().report)
     assert report["counts"] == {"rankings": len(report["rankings"]), "anomalies": 1} and report["rankings"][0]["product_code"] == "p"
+
+
+def test_upsert_holds_nothing_and_carries_over_only_what_stays(spark, tmp_path, monkeypatch):
+    """The source is worked out once, into files, not held in memory or local disks; rows of partitions that it replaces whole are not shuffled."""
+    from pyspark.sql import DataFrame
+
+    def held(df, *level):
+        raise AssertionError("a source as large as the table is held")
+
+    monkeypatch.setattr(DataFrame, "persist", held)
+    path, runs = str(tmp_path / "t"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    first = spark.createDataFrame([(i, str(i % 2), i) for i in range(10)], "id int, day string, v int")
+    tables.upsert(path, first, ["id"], partition_col="day")
+    changed: list = []
+    again = first.where("id % 2 = 0 or id = 1").withColumn("v", F.lit(-1)).mapInArrow(counted, first.schema)
+    assert tables.upsert(path, again, ["id"], partition_col="day", changed=changed) == 6 and runs.value == 6 and sorted(map(str, changed)) == ["0", "1"]
+    assert rows(spark.read.parquet(path).select("id", "v")) == sorted([(i, -1 if i % 2 == 0 or i == 1 else i) for i in range(10)], key=repr)
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
