@@ -25,3 +25,18 @@ def test_five_days_by_change_equal_a_rebuild(spark, tmp_path):
         kept = spark.read.schema(made.schema).parquet(f"{base}/gold/{name}")
         digits = [F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in made.dtypes]
         assert rows(kept.select(*digits)) == rows(made.select(*digits)) and kept.count() > 0
+
+
+def test_a_batch_of_days_is_held_nowhere(spark, tmp_path, monkeypatch):
+    """Each day is read from its own files: the days of a batch are not kept in memory or on local disks."""
+
+    def held(df, *level):
+        raise AssertionError("a batch is held")
+
+    raw = Q.raw_snapshot(spark, SF).where("seen.l_partkey < 20").withColumn("dt", F.lit(Q.LAST))
+    raw.write.partitionBy("dt").parquet(str(tmp_path / "archive"))
+    monkeypatch.setattr(type(raw), "persist", held)
+    done: list = []
+    more = {"config": cleaning.CleanConfig(reference_date=Q.LAST), "order": [F.col("seen")], "weeks": None, "recent": None, "top_n": None}
+    daily.follow(spark, str(tmp_path / "archive"), str(tmp_path / "out"), raw.drop("dt").schema, Q.AT, done, **more).awaitTermination()
+    assert [day for day, _ in done] == [Q.LAST] and spark.read.parquet(str(tmp_path / "out/prices")).count() > 0

@@ -49,12 +49,11 @@ def test_gold_windows(spark):
 
 def test_upsert_holds_nothing_and_carries_over_only_what_stays(spark, tmp_path, monkeypatch):
     """The source is worked out once, into files, not held in memory or local disks; rows of partitions that it replaces whole are not shuffled."""
-    from pyspark.sql import DataFrame
 
     def held(df, *level):
         raise AssertionError("a source as large as the table is held")
 
-    monkeypatch.setattr(DataFrame, "persist", held)
+    monkeypatch.setattr(type(spark.range(1)), "persist", held)
     path, runs = str(tmp_path / "t"), spark.sparkContext.accumulator(0)
 
     def counted(batches):
