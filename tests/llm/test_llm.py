@@ -242,6 +242,36 @@ def test_near_copies_of_a_large_group_against_brute_force(spark):
     assert classes_of(spark, texts) == linked_pairs(texts)
 
 
+def test_texts_kept_apart_by_the_order_of_a_shared_value_are_compared(spark):
+    """Three and 101 texts share one value of one function; those between two that are alike are too long to be compared with either. Of the
+    101 two also share a word. Both pairs are met, over ranges of one task and of many, and pairs of one class are not."""
+    number = lambda i: i.to_bytes(16, "big")
+    rows_, texts = [], []
+    for value, n in ((7, 3), (9, 101)):
+        for i in range(n):
+            tid, last = number(value * 1000 + i), i in (0, n - 1)
+            sketch = [value, i, i] + [(value * 1000 + i) * 200 + k for k in range(order_minhash.SKETCHES - 3)]
+            rows_.append((tid, 40 + 11 * (not last) * (i + 1), sketch, []))
+            texts.append((tid, " ".join(f"{'' if last else i}w{k}" for k in range(10))))
+    sketches = spark.createDataFrame(rows_, "tid binary, n int, sketch array<long>, parts array<long>")
+    held = spark.createDataFrame(texts, "tid binary, text string")
+    want = {(number(7000), number(7002)), (number(9000), number(9100))}
+    for partitions in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            scratch = order_minhash.Scratch(spark)
+            pairs, _, several = order_minhash.candidates(sketches, scratch)
+            assert not want & {(bytes(r.u), bytes(r.v)) for r in pairs.collect()}
+            alone = spark.createDataFrame([], "node binary, root binary")
+            assert want <= {(bytes(r.u), bytes(r.v)) for r in order_minhash.shared_candidates(several, held, alone, scratch).collect()}
+            one = spark.createDataFrame([(t, rows_[0][0]) for t, *_ in rows_], "node binary, root binary")
+            assert order_minhash.shared_candidates(several, held, one, scratch).count() == 0
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_short_near_copies_against_brute_force(spark):
     """Texts of up to 20 words and their partners of up to 25, with up to a fourth of the words edited anywhere: no link is missed."""
     rng = random.Random(10)
