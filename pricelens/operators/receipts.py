@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import collapsed, once, stripped
+from ..functions.scalars import WHITE, collapsed, once, stripped
 from ..schemas import RECEIPT
 
 #: Patterns and words that receipts are read by.
@@ -45,31 +45,37 @@ CHATTY = ["note:", "the image shows", "i think", "newspaper", "this image", " ce
 CHAT_PREFIX = r"(?iu)^(?:note\s*:|the image shows|i think|here is|voici|il s'agit)"
 BAD_STORE = r"(?iu)[(){}]|^(?:here|note|the image)"
 HEADER_LINES = 6
+#: What every dated line holds; line breaks as patterns see them.
+DAY, BREAKS = r"\d{2}[/\-.]\d{2}[/\-.]\d{2}", r"\n\r\x0b\f\x85\u2028\u2029"
 
 ITEM = "struct<nom_produit:string,prix_unitaire_ou_kg:double,unites:int>"
 TICKET = f"struct<date:string,chaine_supermarche:string,adresse:string,produits:array<{ITEM}>>"
 
 
 def _any_of(line: Column, words: list[str]) -> Column:
-    return once(F.lower(line), lambda low: reduce(Column.__or__, (low.contains(w) for w in words)))
+    least = [w for w in words if not any(o != w and o in w for o in words)]  # what holds a longer one holds these
+    return once(F.lower(line), lambda low: reduce(Column.__or__, (low.contains(w) for w in least)))
 
 
 def _number(line: Column, pattern: str, group: int) -> Column:
+    """The number in a group of a pattern; null where the line is not of that pattern, as nothing is found then."""
     return F.replace(F.regexp_extract(line, pattern, group), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def _letters(line: Column) -> Column:
-    return F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
+    return F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
 
 
 def plausible(name: Column) -> Column:
     """Whether a line may name a product."""
-    return (F.length(name) >= 2) & ~name.rlike(PER_KG) & ~name.rlike(LONE_PRICE) & (_letters(name) >= 2)
+    return (F.length(name) >= 2) & ~name.rlike(PER_KG) & ~name.rlike(LONE_PRICE) & name.rlike(r"\p{L}[^\p{L}]*\p{L}")
 
 
 def clean_lines(text: Column) -> Column:
     """The lines of a text, stripped and with single spaces, without empty ones."""
-    return F.filter(F.transform(F.split(text, r"\R"), lambda x: stripped(collapsed(x))), lambda x: x.isNotNull())
+    # White space within lines is collapsed in one pass over the text; single spaces, which are most of it, are not touched.
+    spaced = F.regexp_replace(text, rf"(?U) [{WHITE}&&[^{BREAKS}]]+|[{WHITE}&&[^{BREAKS} ]][{WHITE}&&[^{BREAKS}]]*", " ")
+    return F.filter(F.transform(F.split(spaced, r"\R"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _composed(text: Column, pattern: str, order: str) -> Column:
@@ -91,15 +97,12 @@ def receipt_date(lines: Column, dated: Column) -> Column:
 
 
 def _has_date(line: Column) -> Column:
-    hit = line.rlike(DATE_TIMES[0][0])
-    for p, _ in DATE_TIMES[1:]:
-        hit = hit | line.rlike(p)
-    return hit
+    return line.rlike(DAY) & reduce(Column.__or__, (line.rlike(p) for p, _ in DATE_TIMES))
 
 
-def receipt_header(lines: Column) -> Column:
-    """struct(chain, address, used): the store's chain and address among the first lines, and the numbers of lines that are header."""
-    first = F.transform(F.slice(lines, 1, HEADER_LINES), lambda x, i: F.struct(x.alias("line"), i.alias("nr")))
+def receipt_header(marked: Column) -> Column:
+    """struct(chain, address, used): the store's chain and address among the first marked lines, and the numbers of lines that are header."""
+    first = F.transform(F.slice(marked, 1, HEADER_LINES), lambda x, i: F.struct(x["line"].alias("line"), x["dated"].alias("dated"), x["priced"].alias("priced"), i.alias("nr")))
     start = F.struct(F.lit("").alias("chain"), F.array().cast("array<string>").alias("address"), F.array().cast("array<int>").alias("used"), F.lit(False).alias("stop"))
 
     def state(s: Column, chain=None, address=None, used=None, stop=None) -> Column:
@@ -111,8 +114,8 @@ def receipt_header(lines: Column) -> Column:
         return (
             F.when(s["stop"], state(s))
             .when(line.rlike(HEADER_NOISE), state(s, used=mine))
-            .when(_has_date(line), state(s, used=mine, stop=F.lit(True)))
-            .when(line.rlike(PRICE), state(s, stop=F.lit(True)))
+            .when(x["dated"], state(s, used=mine, stop=F.lit(True)))
+            .when(x["priced"], state(s, stop=F.lit(True)))
             .when((s["chain"] == "") & chain_like, state(s, chain=line, used=mine))
             .when((s["chain"] != "") & (line.rlike(r"\b\d{5}\b") | line.rlike(STREET)), state(s, address=F.concat(s["address"], F.array(line)), used=mine))
             .otherwise(state(s))
@@ -122,16 +125,23 @@ def receipt_header(lines: Column) -> Column:
 
 
 def _marked(line: Column) -> Column:
-    """What a line is, worked out once: numbers are null where it is no line of that kind."""
-    is_product = line.rlike(PRODUCT)
-    name = F.when(is_product, F.regexp_replace(F.regexp_extract(line, PRODUCT, 1), r"^[ .\-:]+|[ .\-:]+$", ""))
-    found = lambda pattern, group: F.when(line.rlike(pattern), _number(line, pattern, group))
-    return F.struct(
-        line.alias("line"), line.rlike(SECTION).alias("section"), _has_date(line).alias("dated"), _any_of(line, IGNORED).alias("ignored"), plausible(line).alias("plausible"),
-        found(WEIGHT, 2).alias("weight"), line.rlike(KG_ONLY).alias("kg_only"), found(PER_KG, 1).alias("per_kg"), found(LONE_PRICE, 1).alias("price"), found(LONE_QUANTITY, 1).cast("int").alias("count"),
-        found(QUANTITY, 1).cast("int").alias("times"), found(QUANTITY, 2).alias("each"), F.when(is_product, _number(line, PRODUCT, 2)).alias("product"),
-        once(name, lambda n: F.struct(n.alias("text"), plausible(n).alias("plausible"))).alias("name"),
-    )
+    """What a line is, worked out once: numbers are null where it is no line of that kind. Most kinds have a price, so other lines are not searched for them."""
+    kg = F.when(F.lower(line).contains("kg"), F.struct(_number(line, WEIGHT, 2).alias("weight"), line.rlike(KG_ONLY).alias("only"), _number(line, PER_KG, 1).alias("price")))
+    quantity = F.when(line.rlike(QUANTITY), F.struct(_number(line, QUANTITY, 1).cast("int").alias("times"), _number(line, QUANTITY, 2).alias("each")))
+    none = F.lit(None).cast("double")
+
+    def mark(priced: bool) -> Column:
+        return F.struct(
+            line.alias("line"), (line.startswith(">") & line.rlike(SECTION)).alias("section"), _has_date(line).alias("dated"), F.lit(priced).alias("priced"), kg.alias("kg"),
+            (_number(line, LONE_PRICE, 1) if priced else none).alias("price"), (none if priced else _number(line, LONE_QUANTITY, 1)).cast("int").alias("count"),
+            (quantity if priced else F.when(F.lit(False), quantity)).alias("quantity"), (_number(line, PRODUCT, 2) if priced else none).alias("product"),
+        )
+
+    return F.when(line.rlike(PRICE), mark(True)).otherwise(mark(False))
+
+
+def _product_name(line: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(line, PRODUCT, 1), r"^[ .\-:]+|[ .\-:]+$", "")
 
 
 def receipt_items(marked: Column, header: Column) -> Column:
@@ -153,6 +163,9 @@ def receipt_items(marked: Column, header: Column) -> Column:
         item = F.struct(name.alias("nom_produit"), F.bround(price, 2).alias("prix_unitaire_ou_kg"), units.cast("int").alias("unites"))
         return state(s, none, F.when(ok, F.concat(s["items"], F.array(item))).otherwise(s["items"]), skip, None, s["begun"] | ok)
 
+    def product(s: Column, name: Column, ok: Column, this: Column, nxt: Column, used: Column) -> Column:
+        return sold(s, name, F.coalesce(nxt["quantity"]["each"], nxt["kg"]["weight"], this["product"]), F.coalesce(nxt["quantity"]["times"], F.lit(1)), used, ok)
+
     def step(s: Column, x: Column) -> Column:
         this, nxt, after = x["this"], x["next"], x["after"]
         waits, price, total = s["pending"].isNotNull(), this["price"], nxt["price"]  # a line waits only if it is plausible
@@ -165,20 +178,20 @@ def receipt_items(marked: Column, header: Column) -> Column:
             F.slice(s["items"], F.lit(1), F.greatest(F.size(s["items"]) - 1, F.lit(0))),
             F.array(F.struct(last["nom_produit"].alias("nom_produit"), last["prix_unitaire_ou_kg"].alias("prix_unitaire_ou_kg"), this["count"].alias("unites"))),
         )
-        ahead_used = F.when(nxt["each"].isNotNull() | nxt["weight"].isNotNull(), 1).otherwise(0)
+        ahead_used = F.when(nxt["quantity"].isNotNull() | nxt["kg"]["weight"].isNotNull(), 1).otherwise(0)
         return (
             F.when(s["done"], state(s))
             .when(s["skip"] > 0, state(s, skip=s["skip"] - 1))
             .when(x["header"], state(s))
             .when(this["section"], state(s, none))
             .when(this["dated"] & this["product"].isNull(), state(s))
-            .when(this["ignored"], F.when(s["begun"] & _any_of(this["line"], FOOTER), state(s, done=F.lit(True))).otherwise(state(s, none)))
-            .when(this["weight"].isNotNull() & waits, sold(s, s["pending"], this["weight"]))
-            .when(waits & this["kg_only"] & nxt["per_kg"].isNotNull(), sold(s, s["pending"], nxt["per_kg"], skip=1))
+            .when(_any_of(this["line"], IGNORED), F.when(s["begun"] & _any_of(this["line"], FOOTER), state(s, done=F.lit(True))).otherwise(state(s, none)))
+            .when(this["kg"]["weight"].isNotNull() & waits, sold(s, s["pending"], this["kg"]["weight"]))
+            .when(waits & this["kg"]["only"] & nxt["kg"]["price"].isNotNull(), sold(s, s["pending"], nxt["kg"]["price"], skip=1))
             .when(this["count"].isNotNull() & (F.size(s["items"]) > 0), state(s, none, recounted))
             .when(price.isNotNull() & waits, sold(s, s["pending"], price, units, used))
-            .when(this["product"].isNotNull() & this["each"].isNull(), sold(s, this["name"]["text"], F.coalesce(nxt["each"], nxt["weight"], this["product"]), F.coalesce(nxt["times"], F.lit(1)), ahead_used, this["name"]["plausible"]))
-            .otherwise(state(s, F.when(this["plausible"] & price.isNull(), this["line"])))
+            .when(this["product"].isNotNull() & this["quantity"].isNull(), once(_product_name(this["line"]), lambda name: once(plausible(name), lambda ok: product(s, name, ok, this, nxt, ahead_used))))
+            .otherwise(state(s, F.when(price.isNull() & plausible(this["line"]), this["line"])))
         )
 
     return F.aggregate(ahead, start, step, lambda s: s["items"])
@@ -192,7 +205,7 @@ def text_ticket(text: Column) -> Column:
         items = receipt_items(marked, header["used"])
         return F.struct(receipt_date(lines, dated).alias("date"), header["chain"].alias("chaine_supermarche"), header["address"].alias("adresse"), items.alias("produits"))
 
-    return once(clean_lines(text), lambda lines: once(F.transform(lines, _marked), lambda marked: once(receipt_header(lines), lambda header: read(lines, marked, header))))
+    return once(clean_lines(text), lambda lines: once(F.transform(lines, _marked), lambda marked: once(receipt_header(marked), lambda header: read(lines, marked, header))))
 
 
 def unfenced(text: Column) -> Column:

@@ -69,3 +69,16 @@ def test_quantity_and_categories(spark):
 def test_uuid_and_department(spark):
     assert values(spark, ["550E8400E29B41D4A716446655440000", "x"], S.dashed_uuid) == ["550e8400-e29b-41d4-a716-446655440000", "x"]
     assert values(spark, ["75011", "97410", "20090", "20200", "abc", None], P.department) == ["75", "974", "2A", "2B", None, None]
+
+
+def test_stripping_is_no_search(spark):
+    """White space as Python has it, of each kind at both ends, without a pattern, whose search took most of the time of cleaning and of lines."""
+    from pyspark.sql import functions as F
+
+    white = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    texts = [*(f"{w} a{w} b {w}" for w in white), *white, "", None, "x", "\u200b y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.stripped(F.col("t")).alias("got"))
+    assert [r.got for r in df.collect()] == [((t or "").strip() or None) for t in texts]
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+    odd = "550E8400E29B41D4A716446655440000\n"
+    assert [r[0] for r in spark.createDataFrame([(odd,)], "t string").select(S.dashed_uuid(F.col("t"))).collect()] == ["550e8400-e29b-41d4-a716-446655440000"]

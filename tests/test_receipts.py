@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from pricelens.operators import receipts
 
 PLAIN = """GRANDES HALLES
@@ -84,3 +86,13 @@ def test_model_output_is_judged(spark):
     for (text, mode), want in cases.items():
         df = spark.createDataFrame([(text,)], "t string")
         assert df.select(receipts.output_error(df.t, mode)).first()[0] == want, (text, mode)
+
+
+def test_lines_of_odd_white_space_are_searched_for_prices_only_with_one(spark):
+    text = "\u00a0A  B\t C\x1f\r\n\r\n x \u2028y\u3000\x0bz \x85 \n\u2003"
+    lines = spark.createDataFrame([(text,)], "t string").select(receipts.clean_lines(F.col("t")).alias("x"))
+    assert lines.first().x == ["A B C", "x", "y", "z"]
+    plan = lines.select(F.transform("x", receipts._marked).alias("m"))
+    marks = plan.first().m
+    assert [m.priced for m in marks] == [False] * 4 and all(m.kg is None and m.quantity is None for m in marks)
+    assert plan._jdf.queryExecution().analyzed().toString().lower().count("lower(") == 2  # of lines with a price and without; what is to be ignored is asked where it matters
