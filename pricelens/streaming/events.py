@@ -35,22 +35,24 @@ def user_id(path: Column) -> Column:
 def decode_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, dead) of envelopes with ``message``: bucket, path, ticket_id, user_id and published_at, or the reason why not.
 
-    Objects outside the prefix are no tickets and in neither.
+    Objects outside the prefix are no tickets and in neither. The row number, which the reason names, keeps filters on it behind the
+    columns that it reads, so that each is worked out once.
     """
-    inner = F.try_to_binary("message.data", F.lit("base64")).cast("string")
-    body = F.from_json(inner, "bucket string, name string")
-    seen = df.select("*", inner.alias("__inner"), body["bucket"].alias("bucket"), body["name"].alias("path")).withColumn("published_at", F.try_to_timestamp("message.publishTime"))
+    decoded = df.withColumn("__inner", F.try_to_binary("message.data", F.lit("base64")).cast("string")).withColumn("__body", F.from_json("__inner", "bucket string, name string"))
+    named = decoded.withColumns({"bucket": F.col("__body.bucket"), "path": F.col("__body.name")}).drop("__body")
+    seen = named.withColumns({"__ticket": ticket_id(F.col("path")), "__json": F.get_json_object("__inner", "$").isNotNull(), "__row": F.monotonically_increasing_id()})
     reason = (
-        F.when(F.col("message").isNull(), "missing message")
+        F.when(F.col("__row") < 0, F.lit(None))
+        .when(F.col("message").isNull(), "missing message")
         .when(F.coalesce("message.data", F.lit("")) == "", "missing data")
-        .when(F.col("__inner").isNull() | F.get_json_object("__inner", "$").isNull(), "data is not base64 JSON")
+        .when(~F.col("__json"), "data is not base64 JSON")
         .when((F.coalesce("bucket", F.lit("")) == "") | (F.coalesce("path", F.lit("")) == ""), "missing bucket or name")
-        .when(F.col("path").startswith(PREFIX) & ticket_id(F.col("path")).isNull(), "path is no ticket")
+        .when(F.col("path").startswith(PREFIX) & F.col("__ticket").isNull(), "path is no ticket")
     )
-    judged = seen.withColumn("reason", reason).drop("__inner")
+    judged = seen.withColumn("reason", reason)
     valid = judged.where(F.col("reason").isNull() & F.col("path").startswith(PREFIX))
     return (
-        valid.select("bucket", "path", ticket_id(F.col("path")).alias("ticket_id"), user_id(F.col("path")).alias("user_id"), "published_at", "message.messageId"),
+        valid.select("bucket", "path", F.col("__ticket").alias("ticket_id"), user_id(F.col("path")).alias("user_id"), F.try_to_timestamp("message.publishTime").alias("published_at"), "message.messageId"),
         judged.where("reason is not null").select(F.to_json("message").alias("message"), "reason"),
     )
 

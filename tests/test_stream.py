@@ -147,3 +147,11 @@ def test_decoding_leaves_other_objects_alone(spark):
     data = spark.read.schema(tables.TICKET_EVENT).json(spark.sparkContext.parallelize([envelope("other/x", "1"), envelope("tickets/raw/u/x.jpg", "2"), upload(7, "3", user="u9")]))
     valid, dead = events.decode_events(data)
     assert rows(valid.select("ticket_id", "user_id", "messageId")) == [(ident(7), "u9", "3")] and rows(dead.select("reason")) == [("path is no ticket",)]
+
+
+def test_events_are_decoded_once(spark):
+    """Filters on the reason do not decode an envelope anew."""
+    df = spark.createDataFrame([], "message struct<attributes:map<string,string>,data:string,messageId:string,publishTime:string>")
+    for part in events.decode_events(df.union(df)):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") <= 2 and plan.count("unbase64") <= 2  # of each side of the union
