@@ -272,6 +272,36 @@ def test_texts_kept_apart_by_the_order_of_a_shared_value_are_compared(spark):
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def shuffled(spark):
+    """Bytes that the session has written for shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+
+@pytest.mark.parametrize("block, few", [(256, 100_000), (16, 100_000), (16, 150)])
+def test_texts_that_share_many_values_have_no_row_for_each_value_and_word(spark, monkeypatch, block, few):
+    """A large class and texts apart from it share 100 values. Those that are linked are met, over one block or many, told apart by values or
+    not, whether all words are told to tasks or few; what is shuffled doesn't grow with the product of values and words."""
+    rng, spread = random.Random(21), block > 16
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    monkeypatch.setattr(order_minhash, "FEW", few)
+    base, passage = words(rng, 150).split(), words(rng, 40)
+    texts = [" ".join(edited(rng, base, rng.randint(1, 45))) for _ in range(120 if spread else 70)] + [f"{words(rng, 60)} {passage} {words(rng, 60)}" for _ in range(60)]
+    texts.append(" ".join(edited(rng, texts[-1].split(), 20)))
+    split, held = [order_minhash.words_of(t) for t in texts], 100 if spread else 3
+    number = lambda i: i.to_bytes(16, "big")
+    root = [0 if i < 50 else i for i in range(len(texts))]
+    holders = spark.createDataFrame([(v, number(i), len(split[i]), number(root[i])) for i in range(len(texts)) for v in range(held)], "value long, tid binary, n int, root binary")
+    table = spark.createDataFrame([(number(i), t) for i, t in enumerate(texts)], "tid binary, text string")
+    before = shuffled(spark)
+    got = {tuple(int.from_bytes(x, "big") for x in r) for r in order_minhash.worded_candidates(holders, table, order_minhash.Scratch(spark)).collect()}
+    assert shuffled(spark) - before < 5_000_000
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if root[i] != root[j] and order_minhash.similarity(split[i], split[j])}
+    assert len(want) > 100 and want <= got and all(root[i] != root[j] for i, j in got)
+    assert len(got) < len(texts) ** 2 / 2
+
+
 def test_short_near_copies_against_brute_force(spark):
     """Texts of up to 20 words and their partners of up to 25, with up to a fourth of the words edited anywhere: no link is missed."""
     rng = random.Random(10)
