@@ -135,9 +135,9 @@ GOLD_SQL = {
 # Cleaning -------------------------------------------------------------------------------------------------------------
 
 
-def raw_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order lines as a raw snapshot with its faults: bad barcodes, currencies, countries, proofs, prices, dates and discounts."""
-    li, od = t(spark, sf_dir, "lineitem"), t(spark, sf_dir, "orders")
+def raw_snapshot(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """The order lines, or ``lines`` of them, as a raw snapshot with its faults: bad barcodes, currencies, countries, proofs, prices, dates and discounts."""
+    li, od = t(spark, sf_dir, "lineitem") if lines is None else lines, t(spark, sf_dir, "orders")
     k = F.col("l_orderkey") * 7 + F.col("l_linenumber")
     bare = F.lpad(F.col("l_partkey").cast("string"), 12, "3")
     digit = (10 - F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.substring(bare, i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 3).otherwise(1)), F.lit(0), lambda a, x: a + x) % 10) % 10

@@ -126,10 +126,10 @@ def upsert_catalogue(spark, sf_dir):
 
 
 def snapshot_archive(spark, sf_dir):
-    """A snapshot archived by its day, twice, and read back with the schema of snapshots; a day without one is empty."""
-    base, raw = folder(spark), cleaning.conform(Q.raw_snapshot(spark, sf_dir), RAW_PRICES)
-    for rows in (raw.limit(1), raw):
-        at = tables.write_archive(rows, base, RUN)
+    """A snapshot archived by its day, twice, first of a single line and then of all, and read back with the schema of snapshots; a day without one is empty."""
+    base, line = folder(spark), F.broadcast(t(spark, sf_dir, "lineitem").limit(1))
+    for lines in (line, None):
+        at = tables.write_archive(cleaning.conform(Q.raw_snapshot(spark, sf_dir, lines), RAW_PRICES), base, RUN)
     count = lambda df, what: df.agg(F.count("*").alias("n"), F.countDistinct(F.nullif("id", F.lit(" "))).alias("ids"), F.count("price_without_discount").alias("full_prices"), F.max("date").alias("last")).select(F.lit(what).alias("what"), "*")
     return count(tables.read_snapshot(spark, at), "read").unionByName(count(tables.read_or_empty(spark, f"{base}/dt=2000-01-01", RAW_PRICES), "absent"))
 

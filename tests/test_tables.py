@@ -68,3 +68,23 @@ def test_upsert_holds_nothing_and_carries_over_only_what_stays(spark, tmp_path,
     assert tables.upsert(path, again, ["id"], partition_col="day", changed=changed) == 6 and runs.value == 6 and sorted(map(str, changed)) == ["0", "1"]
     assert rows(spark.read.parquet(path).select("id", "v")) == sorted([(i, -1 if i % 2 == 0 or i == 1 else i) for i in range(10)], key=repr)
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_archive_of_a_single_line_shuffles_no_other(spark, monkeypatch):
+    """The first archive joins one line to its order where it is; only the second deals all lines."""
+    from pricelens import stored_queries
+
+    plans, write = [], tables.write_archive
+
+    def planned(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *more)
+
+    monkeypatch.setattr(tables, "write_archive", planned)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        read = {r.what: r for r in stored_queries.snapshot_archive(spark, "/root/testdata/sf0.001").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning" not in plans[0] and plans[1].count("Exchange hashpartitioning") == 2
+    assert read["read"].n == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() and read["absent"].n == 0
