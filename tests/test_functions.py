@@ -82,3 +82,11 @@ def test_stripping_is_no_search(spark):
     assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
     odd = "550E8400E29B41D4A716446655440000\n"
     assert [r[0] for r in spark.createDataFrame([(odd,)], "t string").select(S.dashed_uuid(F.col("t"))).collect()] == ["550e8400-e29b-41d4-a716-446655440000"]
+
+
+def test_a_code_is_stripped_once(spark):
+    """A code that is stripped already has the same errors, without another search for white space."""
+    codes = ["3017620422003", "3017620422004", "12345678", "12a", "", None]
+    assert values(spark, codes, lambda c: S.code_error(S.stripped(c))) == values(spark, codes, S.barcode_error)
+    plan = spark.createDataFrame([("1",)], "c string").select(S.code_error(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "trim(" not in plan
