@@ -215,12 +215,14 @@ def unfenced(text: Column) -> Column:
 
 def json_candidates(text: Column) -> Column:
     """Pieces of a noisy text that may be a receipt's JSON: all of it, all from each ``{"ticket":`` on, and each of repeated objects."""
-    whole = unfenced(text)
-    pieces = F.split(whole, r"(?i)(?=\{\s*\"ticket\"\s*:)")
-    tails = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), ""))
-    parts = F.split(whole, r"\}\s*\n\s*\{")
-    fixed = F.transform(parts, lambda p: F.concat(F.when(F.trim(p).startswith("{"), "").otherwise("{"), F.trim(p), F.when(F.trim(p).endswith("}"), "").otherwise("}")))
-    return F.array_distinct(F.concat(F.array(whole), tails, F.when(F.size(parts) > 1, fixed).otherwise(F.array().cast("array<string>"))))
+    return once(unfenced(text), _candidates)
+
+
+def _candidates(whole: Column) -> Column:
+    tails = lambda pieces: F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), ""))
+    closed = lambda p: F.concat(F.when(p.startswith("{"), "").otherwise("{"), p, F.when(p.endswith("}"), "").otherwise("}"))
+    fixed = lambda parts: F.when(F.size(parts) > 1, F.transform(parts, lambda p: closed(F.trim(p)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(whole), once(F.split(whole, r"(?i)(?=\{\s*\"ticket\"\s*:)"), tails), once(F.split(whole, r"\}\s*\n\s*\{"), fixed)))
 
 
 def _parsed(text: Column) -> Column:
@@ -271,17 +273,21 @@ def normal_ticket(raw: Column) -> Column:
 def _normal_ticket(raw: Column, day: Column) -> Column:
     chain = _blank(raw["chaine_supermarche"])
     price_text = lambda p: F.regexp_replace(F.replace(F.trim(p["prix_unitaire_ou_kg"]), F.lit(","), F.lit(".")), r"[^0-9.]", "")
-    price = lambda p: F.when(_blank(p["prix_unitaire_ou_kg"]) == "", 0.0).otherwise(F.when(price_text(p) == "", 0.0).otherwise(price_text(p).try_cast("double")))
+    price = lambda p: F.when(_blank(p["prix_unitaire_ou_kg"]) == "", 0.0).otherwise(once(price_text(p), lambda x: F.when(x == "", 0.0).otherwise(x.try_cast("double"))))
     units = lambda p: F.when(_blank(p["unites"]) == "", 1).otherwise(F.greatest(F.lit(1), F.bround(p["unites"].try_cast("double"), 0).cast("int")))
     named = F.filter(raw["produits"], lambda p: p.isNotNull() & (_blank(p["nom_produit"]) != ""))
     items = F.transform(named, lambda p: F.struct(collapsed(F.trim(p["nom_produit"])).alias("nom_produit"), F.bround(price(p), 2).alias("prix_unitaire_ou_kg"), units(p).alias("unites")))
+    return once(items, lambda items: _typed_ticket(raw, day, chain, items))
+
+
+def _typed_ticket(raw: Column, day: Column, chain: Column, items: Column) -> Column:
     some = F.coalesce(items, F.array().cast(f"array<{ITEM}>"))
     reason = (
         F.when(raw.isNull(), "no ticket JSON")
         .when((day != "") & F.try_to_timestamp(day, F.lit("yyyyMMdd HH:mm")).isNull(), "invalid date")
         .when((chain != "") & ~store_like(chain), "invalid chaine_supermarche")
-        .when(F.exists(named, lambda p: price(p).isNull()), "invalid price")
-        .when(F.exists(named, lambda p: units(p).isNull()), "invalid unites")
+        .when(F.exists(items, lambda p: p["prix_unitaire_ou_kg"].isNull()), "invalid price")
+        .when(F.exists(items, lambda p: p["unites"].isNull()), "invalid unites")
     )
     ticket = F.struct(day.alias("date"), chain.alias("chaine_supermarche"), _blank(raw["adresse"]).alias("adresse"), F.array_distinct(some).alias("produits"))
     return F.struct(F.when(reason.isNull(), ticket).alias("ticket"), reason.alias("reason"))

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from pricelens.operators import receipts
@@ -96,3 +98,19 @@ def test_lines_of_odd_white_space_are_searched_for_prices_only_with_one(spark):
     marks = plan.first().m
     assert [m.priced for m in marks] == [False] * 4 and all(m.kg is None and m.quantity is None for m in marks)
     assert plan._jdf.queryExecution().analyzed().toString().lower().count("lower(") == 2  # of lines with a price and without; what is to be ignored is asked where it matters
+
+
+def test_a_text_is_searched_once_for_candidates(spark):
+    """Each pattern is named once, however many candidates a text has; they are those that plain Python finds."""
+    texts = ['Voici: {} {"ticket": 1} x {"Ticket" : 2}', '{"a": 1}\n{"b": 2}\n {"c": 3}', '```json\n{"ticket": 3}\n```', "", "}\n{"]
+    expected = []
+    for text in texts:
+        whole = re.sub(r"^```json\n|\n```$", "", text)
+        pieces = re.split(r'(?i)(?=\{\s*"ticket"\s*:)', whole)
+        parts = re.split(r"\}\s*\n\s*\{", whole)
+        fixed = [("" if p.startswith("{") else "{") + p + ("" if p.endswith("}") else "}") for p in (x.strip(" ") for x in parts)] if len(parts) > 1 else []
+        expected.append(list(dict.fromkeys([whole, *("".join(pieces[i:]) for i in range(len(pieces))), *fixed])) )
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    made = df.select("i", receipts.json_candidates(F.col("x")).alias("c"))
+    assert [list(dict.fromkeys(r["c"])) for r in made.orderBy("i").collect()] == expected
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
